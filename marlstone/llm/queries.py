@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
-from .common import UID, table, with_uid
+from . import exact_dedup, near_dedup
+from .common import OWN, table, with_uid
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,15 @@ FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(with_uid(table(spark, sf_dir, "documents")))
+    return found.select(F.col(OWN + "id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
