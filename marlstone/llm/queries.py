@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, tokenize
 from .common import OWN, table, with_uid
 
 
@@ -29,9 +29,22 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col(OWN + "id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary files are installed; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
