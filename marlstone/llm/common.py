@@ -78,3 +78,16 @@ def lowered(text: str | None) -> bytes:
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def fold(parts: DataFrame, key: str, slot_on: list[str], merge, work: Workspace, name: str, fan_in: int = 64) -> DataFrame:
+    """Merges rows of partial results until each key has one, at most about `fan_in` rows in a task at a time.
+
+    merge: (key values, pa.Table) -> pa.Table with one row and the schema of `parts`.
+    """
+    parts, step = work.save(parts, f"{name}0"), 0
+    while (most := parts.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > 1:
+        slots, step = -(-most // fan_in), step + 1
+        slot = F.pmod(F.xxhash64(*slot_on), F.lit(slots)) if slots > 1 else F.lit(0).cast("long")
+        parts = work.save(parts.withColumn(OWN + "slot", slot).groupBy(key, OWN + "slot").applyInArrow(merge, parts.schema), f"{name}{step}")
+    return parts

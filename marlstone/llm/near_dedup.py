@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, keep_rows, with_uid
+from .common import OWN, UID, Workspace, batches, fold, keep_rows, with_uid
 from .graph import components
 from .shingles import chunks, mixed, shingles
 
@@ -44,8 +44,6 @@ THRESHOLD = 0.8
 LEAST_SAMPLES = 0.5
 VARIATES = 1 << 14
 LEVELS = 128
-#: Partial counts that one task adds up.
-FAN_IN = 64
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,12 +104,7 @@ def _add_slices(key: tuple, rows: pa.Table) -> pa.Table:
 
 def document_frequencies(texts: DataFrame, work: Workspace) -> tuple[np.ndarray, int]:
     """Counts by feature and the number of documents, added up in a tree; the result has one size for every input."""
-    parts = work.save(texts.mapInArrow(_count_features, _DF), "df0")
-    step = 0
-    while (most := parts.groupBy("slice").count().agg(F.max("count")).first()[0] or 0) > 1:
-        slots, step = -(-most // FAN_IN), step + 1
-        dealt = parts.withColumn("slot", F.pmod(F.xxhash64(F.crc32("df"), "docs"), F.lit(slots)))
-        parts = work.save(dealt.groupBy("slice", "slot").applyInArrow(_add_slices, _DF), f"df{step}")
+    parts = fold(texts.mapInArrow(_count_features, _DF), "slice", ["df", "docs"], _add_slices, work, "df")
     found = {r["slice"]: r for r in parts.collect()}
     if not found:
         return np.zeros(1 << FEATURE_BITS, np.int64), 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, pii, tiff, tokenize
+from . import exact_dedup, near_dedup, pii, pitman_yor, tiff, tokenize
 from .common import OWN, table, with_uid
 
 
@@ -46,6 +46,10 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op5_tiff": op5_tiff,
+    "op6_pitman_yor": op6_pitman_yor,
     "op8_pii": op8_pii,
     "op10_bpe": op10_bpe,
 }
