@@ -1,11 +1,12 @@
 """A hierarchical Pitman-Yor language model of a whole corpus, and every text's probability under it.
 
-The model is a chain of Chinese restaurants.  The top one serves words: its customers are all training tokens, and
-each of its tables orders a new spelling from the restaurants below.  Those serve
-bytes, one restaurant for each context of up to three preceding bytes; contexts
-that share their last bytes share a parent, down to a uniform choice.  An
-unseen word thus has the probability of its spelling, and a context that is rarely seen leans on
-its parent.
+The model is a hierarchy of Chinese restaurants.  At the top stands one restaurant for each context; a
+context is the class of the last short word before a token (short words are function words for the
+most part, and tell language and phrasing).  All of them share one parent, which serves words; its customers are the
+children's tables.  Each of its own tables orders a new spelling from the restaurants below.  Those
+serve bytes, one for each context of up to ORDER preceding bytes; contexts that share their last bytes share
+a parent, down to a uniform choice.  So an unseen word has the probability of its spelling, and a
+context that is rarely seen leans on its parent.
 
 Seating is sampled by Gibbs sweeps over the numbers of tables.  For a dish with few customers the number of
 tables is drawn from its exact conditional distribution (generalised Stirling numbers); dishes with more than
@@ -13,11 +14,11 @@ STIRLING customers are seated anew one after another, in growing blocks.  All
 dishes of a sweep see the other dishes' tables as of its start.  Predictive probabilities are averaged over the
 samples that follow the burn-in.
 
-Where things happen: words are counted in blocks of rows, dealt to shards by their checksum, and counted,
-seated and scored there; a shard sends each block its words' counts and
-probabilities in the order in which the block sent the words.  Only the spelling model is
-gathered: its cells are byte n-grams, at most CELLS of them (contexts are
-shortened to two bytes if there are more; with two bytes there are at most 2^24).
+Where things happen: pairs of context and word are counted in blocks of rows, dealt to shards by the word's
+checksum, and counted, seated and scored there; a shard sends each block its words' counts and its pairs'
+probabilities in the order in which the block sent them.  Only the spelling model is
+gathered: its cells are byte n-grams, at most CELLS of them (contexts are shortened while there are
+more; with two bytes there are at most 2^24).
 
 Defined results: null text counts as empty and has the end token only; a row with a null id is
 training text; without training tokens all known counts are 0 and the model is the uniform spelling; extra columns
@@ -26,7 +27,6 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,11 +45,16 @@ STIRLING = 64
 BURN_IN, SAMPLES = 1, 3
 #: Sweeps over the spelling model between two samples of the words.
 SPELLING_SWEEPS = 3
-CELLS = 1 << 23
+CELLS = 1 << 22
+ORDER = 4
+#: Classes of contexts, and the most bytes of a word that makes a context.
+CONTEXTS, SHORT = 1024, 4
+#: The token that ends a text; no word can be a line feed.
+STOP = b"\n"
+LEAST_LOG = -600.0
 #: Base probability that a text ends, and the concentration of all restaurants.
 END = 1e-3
 THETA = 1.0
-SPACE = 32
 
 
 # --- seating -----------------------------------------------------------------
@@ -193,16 +198,17 @@ class Spelling:
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of all bytes and closing spaces of words, with three bytes of context; where each word starts; their lengths."""
-    raw = np.frombuffer(b"".join(b"   " + w + b" " for w in words), np.uint8).astype(np.int64)
+    """Cells of all bytes and closing spaces of words, with ORDER bytes of context; where each word starts; their lengths."""
+    raw = np.frombuffer(b"".join(b" " * ORDER + w + b" " for w in words), np.uint8).astype(np.int64)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
-    cells = raw[3:] | raw[2:-1] << 8 | raw[1:-2] << 16 | raw[:-3] << 24
-    ends = np.cumsum(sizes + 3)
+    cells = np.zeros(len(raw) - ORDER, np.int64)
+    for k in range(ORDER + 1):
+        cells |= raw[ORDER - k : len(raw) - k] << (8 * k)
     keep = np.ones(len(raw), bool)
-    starts = ends - sizes - 3
-    for k in range(3):
+    starts = np.cumsum(sizes + ORDER) - sizes - ORDER
+    for k in range(ORDER):
         keep[starts + k] = False
-    return cells[keep[3:]], np.cumsum(sizes) - sizes, sizes
+    return cells[keep[ORDER:]], np.cumsum(sizes) - sizes, sizes
 
 
 def log_spelling(words: list[bytes], model: Spelling) -> np.ndarray:
@@ -229,18 +235,63 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
 # --- words in blocks and shards --------------------------------------------------
 
 
-def _count_words(shards: int):
-    """Each block's distinct words, dealt to shards: words in byte order, with counts of the block's training rows."""
+class _Contexts(dict):
+    """The class of the context that a short word makes."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = zlib.crc32(word) % (CONTEXTS - 1) + 1
+        if len(self) < 1 << 16:
+            self[word] = k
+        return k
+
+
+def tokens(text: str | None, classes: _Contexts) -> list[tuple[bytes, int]]:
+    """(token, class of its context) of a text, the end token with them."""
+    k, out = 0, []
+    for w in lowered(text).split():
+        out.append((w, k))
+        if len(w) <= SHORT:
+            k = classes[w]
+    out.append((STOP, k))
+    return out
+
+
+def dealt(pairs, shards: int) -> list[tuple[int, list[bytes], np.ndarray, list[tuple[bytes, int]]]]:
+    """Pairs by shard of their word: distinct words, how many pairs each has, and the pairs in order."""
+    out: dict[int, tuple[list, list, list]] = {}
+    last, held = None, None
+    for pair in sorted(pairs):
+        w = pair[0]
+        if w != last:
+            last = w
+            shard = zlib.crc32(w) % shards
+            if shard not in out:
+                out[shard] = ([], [], [])
+            held = out[shard]
+            held[0].append(w)
+            held[1].append(0)
+        held[1][-1] += 1
+        held[2].append(pair)
+    return [(shard, words, np.array(n, np.int32), own) for shard, (words, n, own) in sorted(out.items())]
+
+
+def _count_pairs(shards: int):
+    """Each block's distinct pairs, dealt to shards, with counts over the block's training rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts = None, {}
+        block, counts, classes = None, {}, _Contexts()
 
         def sent() -> pa.RecordBatch:
             found = dealt(counts, shards)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([b" ".join(w) for _, w in found], pa.binary()), pa.array([np.array([counts[x] for x in w], np.int64).tobytes() for _, w in found], pa.binary())],
-                names=["shard", "block", "words", "counts"],
-            )
+            columns = [
+                pa.array([f[0] for f in found], pa.int32()),
+                pa.array([block] * len(found), pa.int64()),
+                pa.array([b" ".join(f[1]) for f in found], pa.binary()),
+                pa.array([f[2].tobytes() for f in found], pa.binary()),
+                pa.array([np.array([k for _, k in f[3]], np.uint16).tobytes() for f in found], pa.binary()),
+                pa.array([np.array([counts[x] for x in f[3]], np.int32).tobytes() for f in found], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "words", "each", "ks", "counts"])
 
         for blocks, train, texts in batches(rows, [OWN + "block", OWN + "train", "text"]):
             for b, t, text in zip(blocks, train, texts, strict=True):
@@ -248,51 +299,93 @@ def _count_words(shards: int):
                     if counts:
                         yield sent()
                     block, counts = b, {}
-                words = lowered(text).split()
+                one = int(t)
                 get = counts.get
-                if t:
-                    for w in words:
-                        counts[w] = get(w, 0) + 1
-                else:
-                    for w in words:
-                        if w not in counts:
-                            counts[w] = 0
+                for pair in tokens(text, classes):
+                    counts[pair] = get(pair, 0) + one
         if counts:
             yield sent()
 
     return run
 
 
-_SENT = "shard int, block long, words binary, counts binary"
+_SENT = "shard int, block long, words binary, each binary, ks binary, counts binary"
+_LEXICON = "shard int, words binary, pairs binary, c binary, t binary, tables binary, weight binary, extra binary"
+
+
+class Lexicon:
+    """A shard's words and pairs.  pairs: word << 10 | context class, sorted; c, t: customers and tables of pairs; tables: of words."""
 
+    def __init__(self, row: dict):
+        self.shard, self.raw = row["shard"], row["words"]
+        self.words = self.raw.split(b" ")
+        self.pairs, self.c, self.t, self.tables = (np.frombuffer(row[k], np.int64) for k in ("pairs", "c", "t", "tables"))
+        self.weight, self.extra = np.frombuffer(row["weight"]), np.frombuffer(row["extra"])
+        self.of, self.k = self.pairs // CONTEXTS, self.pairs % CONTEXTS
 
-def dealt(words, shards: int) -> list[tuple[int, list[bytes]]]:
-    """Words by shard, each shard's in byte order."""
-    out: dict[int, list[bytes]] = {}
-    crc = zlib.crc32
-    for w in sorted(words):
-        out.setdefault(crc(w) % shards, []).append(w)
-    return sorted(out.items())
+    def per_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, len(self.words)).astype(np.int64)
 
+    def table(self) -> pa.Table:
+        kinds = pa.schema([("shard", pa.int32()), *((k, pa.binary()) for k in ("words", "pairs", "c", "t", "tables", "weight", "extra"))])
+        return pa.Table.from_pylist([{"shard": self.shard, "words": self.raw, **{k: getattr(self, k).tobytes() for k in ("pairs", "c", "t", "tables", "weight", "extra")}}], kinds)
 
-_LEXICON = "shard int, words binary, c binary, t binary, weight binary, n long, v long, ones long, twos long, tables long"
 
+def _keys(place: dict[bytes, int], row: dict) -> np.ndarray:
+    """Pairs of a block's packet as the lexicon numbers them."""
+    at = np.fromiter((place[w] for w in row["words"].split(b" ")), np.int64)
+    return np.repeat(at, np.frombuffer(row["each"], np.int32)) * CONTEXTS + np.frombuffer(row["ks"], np.uint16)
 
-def _lexicon_row(shard: int, words: list[bytes], c: np.ndarray, t: np.ndarray, weight: np.ndarray) -> pa.Table:
-    kinds = [("shard", pa.int32()), *((k, pa.binary()) for k in ("words", "c", "t", "weight")), *((k, pa.int64()) for k in ("n", "v", "ones", "twos", "tables"))]
-    row = {"shard": shard, "words": b" ".join(words), "c": c.tobytes(), "t": t.tobytes(), "weight": weight.tobytes(), "n": int(c.sum()), "v": int((c > 0).sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "tables": int(t.sum())}
-    return pa.Table.from_pylist([row], pa.schema(kinds))
 
+def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
+    place: dict[bytes, int] = {}
+    keys, counts = [], []
+    for r in rows.select(["words", "each", "ks", "counts"]).to_pylist():
+        for w in r["words"].split(b" "):
+            place.setdefault(w, len(place))
+        keys.append(_keys(place, r))
+        counts.append(np.frombuffer(r["counts"], np.int32).astype(np.int64))
+    pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(back, np.concatenate(counts), len(pairs)).astype(np.int64)
+    t = np.minimum(c, 1)
+    tables = np.minimum(np.bincount(pairs // CONTEXTS, t, len(place)), 1).astype(np.int64)
+    row = {"shard": key[0].as_py(), "words": b" ".join(place), "pairs": pairs.tobytes(), "c": c.tobytes(), "t": t.tobytes(), "tables": tables.tobytes(), "weight": np.zeros(len(pairs)).tobytes(), "extra": np.zeros(len(place)).tobytes()}
+    return Lexicon(row).table()
 
-def _merge_words(key: tuple, rows: pa.Table) -> pa.Table:
-    total: dict[bytes, int] = {}
-    get = total.get
-    for r in rows.select(["words", "counts"]).to_pylist():
-        for w, n in zip(r["words"].split(b" "), np.frombuffer(r["counts"], np.int64).tolist(), strict=True):
-            total[w] = get(w, 0) + n
-    words = sorted(total)
-    c = np.array([total[w] for w in words], np.int64)
-    return _lexicon_row(key[0].as_py(), words, c, np.minimum(c, 1), np.zeros(len(words)))
+
+_STATE = "n long, v long, ones long, twos long, ones0 long, twos0 long, customers binary, seated binary, tables0 long"
+
+
+def _describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's share of the totals that all restaurants need: one short row each."""
+    for b in rows:
+        for r in b.to_pylist():
+            x = Lexicon(r)
+            own = x.per_word(x.t)
+            row = {"n": int(x.c.sum()), "v": int((x.per_word(x.c) > 0).sum()), "ones": int((x.c == 1).sum()), "twos": int((x.c == 2).sum()), "ones0": int((own == 1).sum()), "twos0": int((own == 2).sum())}
+            row |= {"customers": np.bincount(x.k, x.c, CONTEXTS).astype(np.int64).tobytes(), "seated": np.bincount(x.k, x.t, CONTEXTS).astype(np.int64).tobytes(), "tables0": int(x.tables.sum())}
+            kinds = pa.schema([(k, pa.binary() if k in ("customers", "seated") else pa.int64()) for k in row])
+            yield pa.RecordBatch.from_pylist([row], kinds)
+
+
+@dataclass
+class State:
+    """Totals over all shards; customers and seated (tables) by context class."""
+
+    n: int
+    v: int
+    d: float
+    d0: float
+    customers: np.ndarray
+    seated: np.ndarray
+    tables0: int
+
+
+def _state(lexicon: DataFrame) -> State:
+    rows = lexicon.mapInArrow(_describe, _STATE).collect()
+    total = {k: sum(r[k] for r in rows) for k in ("n", "v", "ones", "twos", "ones0", "twos0", "tables0")}
+    customers, seated = (sum((np.frombuffer(r[k], np.int64) for r in rows), np.zeros(CONTEXTS, np.int64)) for k in ("customers", "seated"))
+    return State(total["n"], total["v"], discount(total["ones"], total["twos"]), discount(total["ones0"], total["twos0"]), customers, seated, total["tables0"])
 
 
 _CELLS = "part int, tag long, cells binary, n binary"
@@ -303,9 +396,8 @@ def _cells_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spellings that the shards' tables order, cut by the last byte so that parts are merged apart."""
     for b in rows:
         for r in b.to_pylist():
-            words = r["words"].split(b" ")
-            t = np.frombuffer(r["t"], np.int64)
-            some = np.flatnonzero(t > 0)
+            words, t = r["words"].split(b" "), np.frombuffer(r["tables"], np.int64)
+            some = [i for i in np.flatnonzero(t > 0) if words[i] != STOP]
             cells, n = spelling_cells([words[i] for i in some], t[some])
             part = cells % PARTS
             yield pa.RecordBatch.from_arrays(
@@ -324,104 +416,92 @@ def _merge_cells(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _gathered(lexicon: DataFrame, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray, int]:
     """The spelling model's cells and customers, and its context length."""
-    parts = fold(lexicon.select("shard", "words", "t").mapInArrow(_cells_of, _CELLS), "part", ["tag"], _merge_cells, work, name)
-    order, shift = 3, 0
-    if (parts.select(F.sum(F.octet_length("cells"))).first()[0] or 0) // 8 > CELLS:
-        # Cells of two-byte contexts are at most 2^24; they are added up before they are gathered.
-        order, shift = 2, (1 << 24) - 1
+    parts = fold(lexicon.select("shard", "words", "tables").mapInArrow(_cells_of, _CELLS), "part", ["tag"], _merge_cells, work, name)
+    order = ORDER
+    while order > 2 and (parts.select(F.sum(F.octet_length("cells"))).first()[0] or 0) // 8 > CELLS:
+        order -= 1
+        mask = (1 << (8 * (order + 1))) - 1
 
-        def shorten(key: tuple, rows: pa.Table) -> pa.Table:
+        def shorten(key: tuple, rows: pa.Table, mask: int = mask) -> pa.Table:
             r = rows.to_pylist()[0]
-            cells, back = np.unique(np.frombuffer(r["cells"], np.int64) & shift, return_inverse=True)
+            cells, back = np.unique(np.frombuffer(r["cells"], np.int64) & mask, return_inverse=True)
             n = np.bincount(back, np.frombuffer(r["n"], np.int64), len(cells)).astype(np.int64)
             return pa.Table.from_pylist([{**r, "cells": cells.tobytes(), "n": n.tobytes()}], rows.schema)
 
-        parts = work.save(parts.groupBy("part").applyInArrow(shorten, _CELLS), name + "_short")
+        # Parts are cut by the last byte, so shortened cells still lie in one part each.
+        parts = work.save(parts.groupBy("part").applyInArrow(shorten, _CELLS), f"{name}_short{order}")
     found = parts.collect()
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), order
-    cells = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in found])
-    n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in found])
+    cells, n = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[k], np.int64) for r in found)]) for k in ("cells", "n"))
     by = np.argsort(cells)
     return cells[by], n[by], order
 
 
-def _seat_words(model, d: float, tables: int, seed: int, count: bool):
-    """A Gibbs sweep over a shard's words; with `count`, adds the sample's weights of all words."""
+def _seat_shard(model, state: State, seed: int, count: bool):
+    """A Gibbs sweep over a shard: its pairs, then its words; with `count`, adds the sample's probabilities of all pairs."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_s = stirling(d)
+        log_s, log_s0 = stirling(state.d), stirling(state.d0)
         for b in rows:
             for r in b.to_pylist():
-                words = r["words"].split(b" ")
-                c, t = np.frombuffer(r["c"], np.int64), np.frombuffer(r["t"], np.int64)
-                base = (1 - END) * np.exp(log_spelling(words, model.value))
-                t = seat(c, t, np.full(len(c), tables), base, d, log_s, np.random.default_rng([seed, r["shard"]]))
-                t = np.where(c > 0, t, 0)
-                weight = np.frombuffer(r["weight"])
+                x = Lexicon(r)
+                rng = np.random.default_rng([seed, x.shard])
+                log_p = log_spelling(x.words, model.value)
+                # Spellings too unlikely for a double carry the rest of their logarithm along.
+                x.extra = np.minimum(log_p - LEAST_LOG, 0)
+                spelling = (1 - END) * np.exp(np.maximum(log_p, LEAST_LOG))
+                spelling[[i for i, w in enumerate(x.words) if w == STOP]] = END
+                served = int(state.seated.sum())
+                word = lambda: (np.maximum(x.per_word(x.t) - state.d0 * x.tables, 0) + (THETA + state.d0 * state.tables0) * spelling) / (THETA + served)  # noqa: B023, E731
+                p = word()[x.of]
+                x.t = np.where(x.c > 0, seat(x.c, x.t, state.seated[x.k], p, state.d, log_s, rng), 0)
+                own = x.per_word(x.t)
+                x.tables = np.where(own > 0, seat(own, x.tables, np.full(len(own), state.tables0), spelling, state.d0, log_s0, rng), 0)
                 if count:
-                    weight = weight + np.maximum(c - d * t, 0) + (THETA + d * tables) * base
-                yield from _lexicon_row(r["shard"], words, c, t, weight).to_batches()
+                    p = word()[x.of]
+                    x.weight = x.weight + (np.maximum(x.c - state.d * x.t, 0) + (THETA + state.d * state.seated[x.k]) * p) / (THETA + state.customers[x.k])
+                yield from x.table().to_batches()
 
     return run
 
 
-def _answer(samples: int):
-    """What a shard sends back to each block: counts and summed weights, in the order of the block's words."""
-
-    def run(key: tuple, sent: pa.Table, lexicon: pa.Table) -> pa.Table:
-        r = lexicon.to_pylist()[0]
-        place = {w: i for i, w in enumerate(r["words"].split(b" "))}
-        c, weight = np.frombuffer(r["c"], np.int64), np.frombuffer(r["weight"]) / samples
-        out: dict[str, list] = {"block": [], "shard": [], "c": [], "weight": []}
-        for s in sent.select(["block", "words"]).to_pylist():
-            at = np.fromiter(map(place.__getitem__, s["words"].split(b" ")), np.int64)
-            out["block"].append(s["block"])
-            out["shard"].append(r["shard"])
-            out["c"].append(c[at].tobytes())
-            out["weight"].append(weight[at].tobytes())
-        kinds = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("c", pa.binary()), ("weight", pa.binary())])
-        return pa.Table.from_pydict(out, kinds)
+def _answer(key: tuple, sent: pa.Table, lexicon: pa.Table) -> pa.Table:
+    """What a shard sends back to each block: counts of words and log10 probabilities of pairs, in the order of the block's packet."""
+    x = Lexicon(lexicon.to_pylist()[0])
+    place = {w: i for i, w in enumerate(x.words)}
+    c = x.per_word(x.c)
+    p = (np.log10(x.weight / SAMPLES) + np.where(c > 0, 0, x.extra / np.log(10))[x.of]).astype(np.float32)
+    out: dict[str, list] = {"block": [], "shard": [], "c": [], "p": []}
+    for s in sent.select(["block", "words", "each", "ks"]).to_pylist():
+        at = np.fromiter((place[w] for w in s["words"].split(b" ")), np.int64)
+        out["block"].append(s["block"])
+        out["shard"].append(x.shard)
+        out["c"].append(c[at].tobytes())
+        out["p"].append(p[np.searchsorted(x.pairs, _keys(place, s))].tobytes())
+    return pa.Table.from_pydict(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("c", pa.binary()), ("p", pa.binary())]))
 
-    return run
-
-
-@dataclass
-class Totals:
-    """Of the training tokens, the end tokens with them, and of the model's last state."""
 
-    n: int
-    v: int
-    ends: int
-    end_weight: float
-    samples: int
-
-
-def _score(shards: int, totals: Totals):
+def _score(shards: int, n: int, v: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, held, texts = (docs.column(c).to_pylist() for c in (OWN + "id", OWN + "held", "text"))
-        rows = [lowered(t).split() for t in texts]
+        classes = _Contexts()
+        rows = [tokens(t, classes) for t in texts]
         got = {r["shard"]: r for r in answers.to_pylist()}
-        place: dict[bytes, int] = {}
-        counts, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for shard, words in dealt(set().union(*rows), shards):
-            n = len(place)
-            place.update(zip(words, range(n, n + len(words)), strict=True))
-            counts.append(np.frombuffer(got[shard]["c"], np.int64))
-            weights.append(np.frombuffer(got[shard]["weight"]))
-        c, w = np.concatenate(counts), np.concatenate(weights)
-        base = np.log10((c + 1) / (totals.n + totals.v + 1))
-        p = np.log10(w / (THETA + totals.n))
-        end_base = math.log10((totals.ends + 1) / (totals.n + totals.v + 1))
-        end_p = math.log10(totals.end_weight / (THETA + totals.n))
+        place: dict[tuple[bytes, int], int] = {}
+        counts, chances = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for shard, _, each, pairs in dealt(set().union(*rows), shards):
+            place.update(zip(pairs, range(len(place), len(place) + len(pairs)), strict=True))
+            counts.append(np.repeat(np.frombuffer(got[shard]["c"], np.int64), each))
+            chances.append(np.frombuffer(got[shard]["p"], np.float32))
+        c, p = np.concatenate(counts), np.concatenate(chances).astype(np.float64)
+        base = np.log10((c + 1) / (n + v + 1))
         n_tokens, n_known, base_score, score = [], [], [], []
-        for words in rows:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            n_tokens.append(len(words) + 1)
-            n_known.append(int((c[at] > 0).sum()) + (totals.ends > 0))
-            base_score.append(float(base[at].sum()) + end_base)
-            score.append(float(p[at].sum()) + end_p)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([totals.n] * len(ids), pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in rows:
+            at = np.fromiter(map(place.__getitem__, row), np.int64, len(row))
+            n_tokens.append(len(row))
+            n_known.append(int((c[at] > 0).sum()))
+            base_score.append(float(base[at].sum()))
+            score.append(float(p[at].sum()))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * len(ids), pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -441,32 +521,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     rows = with_uid(docs).select(F.shiftright(UID, BLOCK_BITS).alias(OWN + "block"), F.col(id_col).cast("long").alias(OWN + "id"), held.alias(OWN + "held"), F.col(text_col).alias("text"))
 
-    sent = work.save(rows.select(OWN + "block", (~F.col(OWN + "held")).alias(OWN + "train"), "text").mapInArrow(_count_words(shards), _SENT), "sent")
-    lexicon = work.save(sent.groupBy("shard").applyInArrow(_merge_words, _LEXICON), "lexicon")
-    ends = rows.where(~F.col(OWN + "held")).count()
-    n, v, ones, twos, tables = (x or 0 for x in lexicon.agg(*(F.sum(k) for k in ("n", "v", "ones", "twos", "tables"))).first())
-    d = discount(ones, twos)
+    sent = work.save(rows.select(OWN + "block", (~F.col(OWN + "held")).alias(OWN + "train"), "text").mapInArrow(_count_pairs(shards), _SENT), "sent")
+    lexicon = work.save(sent.groupBy("shard").applyInArrow(_merge_pairs, _LEXICON), "lexicon")
+    state = _state(lexicon)
     rng = np.random.default_rng(seed)
-
-    end_weight = 0.0
     for i in range(BURN_IN + SAMPLES):
-        cells, customers, order = _gathered(lexicon, work, f"cells{i}_")
-        spelling = Spelling(cells if order == 3 else _summed(cells, customers)[0], customers if order == 3 else _summed(cells, customers)[1], order)
+        spelling = Spelling(*_gathered(lexicon, work, f"cells{i}_"))
         for _ in range(SPELLING_SWEEPS):
             spelling.sweep(rng)
-        kept = i >= BURN_IN
-        if kept:
-            end_weight += max(ends - d * min(ends, 1), 0) + (THETA + d * tables) * END
         model = spark.sparkContext.broadcast(spelling.frozen())
-        lexicon = work.save(lexicon.mapInArrow(_seat_words(model, d, tables, seed + i, kept), _LEXICON), f"seated{i}")
-        tables = lexicon.agg(F.sum("tables")).first()[0] or 0
-
-    totals = Totals(n + ends, v + (ends > 0), ends, end_weight / SAMPLES, SAMPLES)
-    answers = work.save(sent.select("shard", "block", "words").groupBy("shard").cogroup(lexicon.select("shard", "words", "c", "weight").groupBy("shard")).applyInArrow(_answer(SAMPLES), "block long, shard int, c binary, weight binary"), "answers")
-    return rows.groupBy(OWN + "block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, totals), _SCORED)
-
-
-def _summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells that several parts hold, added up."""
-    own, back = np.unique(cells, return_inverse=True)
-    return own, np.bincount(back, n, len(own)).astype(np.int64)
+        lexicon = work.save(lexicon.mapInArrow(_seat_shard(model, state, seed + i, i >= BURN_IN), _LEXICON), f"seated{i}")
+        state = _state(lexicon)
+    answers = work.save(sent.drop("counts").groupBy("shard").cogroup(lexicon.groupBy("shard")).applyInArrow(_answer, "block long, shard int, c binary, p binary"), "answers")
+    return rows.groupBy(OWN + "block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, state.n, state.v), _SCORED)
