@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, pii, pitman_yor, tiff, tokenize
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, pitman_yor, quality, tiff, tokenize
 from .common import OWN, table, with_uid
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(with_uid(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return found.select(F.col(OWN + "id").alias("doc_id"), "lang", "n_tokens", "log10_prob", "log10_perplexity", "threshold", "kept")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.groups(with_uid(table(spark, sf_dir, "documents")), keep="max")
     return found.select(F.col(exact_dedup.ID).alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex(exact_dedup.DIGEST)).alias("text_sha256"))
@@ -37,6 +48,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -55,11 +70,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op5_tiff": op5_tiff,
     "op6_pitman_yor": op6_pitman_yor,
     "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {
