@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import OWN, UID, Workspace, batches, fold, lowered, with_uid
 
-BLOCK_BITS = 11
+BLOCK_BITS = 10
 #: Rows for which one shard of words is made, and the most shards.
-SHARD_ROWS, MOST_SHARDS = 8192, 1024
+SHARD_ROWS, MOST_SHARDS = 2048, 1024
 STIRLING = 64
 BURN_IN, SAMPLES = 1, 3
 #: Sweeps over the spelling model between two samples of the words.
@@ -235,75 +235,71 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
 # --- words in blocks and shards --------------------------------------------------
 
 
-class _Contexts(dict):
-    """The class of the context that a short word makes."""
-
-    def __missing__(self, word: bytes) -> int:
-        k = zlib.crc32(word) % (CONTEXTS - 1) + 1
-        if len(self) < 1 << 16:
-            self[word] = k
-        return k
-
-
-def tokens(text: str | None, classes: _Contexts) -> list[tuple[bytes, int]]:
-    """(token, class of its context) of a text, the end token with them."""
-    k, out = 0, []
-    for w in lowered(text).split():
-        out.append((w, k))
-        if len(w) <= SHORT:
-            k = classes[w]
-    out.append((STOP, k))
-    return out
-
-
-def dealt(pairs, shards: int) -> list[tuple[int, list[bytes], np.ndarray, list[tuple[bytes, int]]]]:
-    """Pairs by shard of their word: distinct words, how many pairs each has, and the pairs in order."""
-    out: dict[int, tuple[list, list, list]] = {}
-    last, held = None, None
-    for pair in sorted(pairs):
-        w = pair[0]
-        if w != last:
-            last = w
-            shard = zlib.crc32(w) % shards
-            if shard not in out:
-                out[shard] = ([], [], [])
-            held = out[shard]
-            held[0].append(w)
-            held[1].append(0)
-        held[1][-1] += 1
-        held[2].append(pair)
-    return [(shard, words, np.array(n, np.int32), own) for shard, (words, n, own) in sorted(out.items())]
+class Block:
+    """The tokens of a block's texts, as places in its distinct pairs, which are in order of shard, word and context."""
+
+    def __init__(self, texts: list[str | None], shards: int):
+        every: list[bytes] = []
+        sizes = []
+        for t in texts:
+            row = lowered(t).split()
+            every += row
+            every.append(STOP)
+            sizes.append(len(row) + 1)
+        words = sorted(set(every))
+        place = dict(zip(words, range(len(words)), strict=True))
+        ids = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # A context is the class of the last short word before a token of the same text, 0 if there is none.
+        own = np.array([zlib.crc32(w) % (CONTEXTS - 1) + 1 if len(w) <= SHORT else 0 for w in words], np.int64)[ids]
+        own[self.starts + self.sizes - 1] = 0
+        last = np.maximum.accumulate(np.where(own > 0, np.arange(len(own)), -1))
+        last = np.concatenate(([-1], last[:-1]))
+        context = np.where(last >= np.repeat(self.starts, self.sizes), own[last], 0)
+        shard = np.array([zlib.crc32(w) % shards for w in words], np.int64)
+        by = np.argsort(shard, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[by] = np.arange(len(words))
+        self.words, self.shard = [words[i] for i in by], shard[by]
+        self.pairs, self.at = np.unique(rank[ids] * CONTEXTS + context, return_inverse=True)
+
+    def cuts(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(shard, first word, end, first pair, end) of each shard that has words here."""
+        edges = np.flatnonzero(np.diff(self.shard, prepend=-1, append=self.shard[-1] + 1))
+        pair_edges = np.searchsorted(self.pairs, edges * CONTEXTS)
+        for i in range(len(edges) - 1):
+            yield int(self.shard[edges[i]]), int(edges[i]), int(edges[i + 1]), int(pair_edges[i]), int(pair_edges[i + 1])
+
+    def packets(self, block: int, counts: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for shard, w0, w1, p0, p1 in self.cuts():
+            of = self.pairs[p0:p1] // CONTEXTS - w0
+            rows.append((shard, block, b" ".join(self.words[w0:w1]), np.bincount(of, minlength=w1 - w0).astype(np.int32).tobytes(), (self.pairs[p0:p1] % CONTEXTS).astype(np.uint16).tobytes(), counts[p0:p1].astype(np.int32).tobytes()))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "words", "each", "ks", "counts"])
 
 
 def _count_pairs(shards: int):
     """Each block's distinct pairs, dealt to shards, with counts over the block's training rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts, classes = None, {}, _Contexts()
+        block, texts, train = None, [], []
 
         def sent() -> pa.RecordBatch:
-            found = dealt(counts, shards)
-            columns = [
-                pa.array([f[0] for f in found], pa.int32()),
-                pa.array([block] * len(found), pa.int64()),
-                pa.array([b" ".join(f[1]) for f in found], pa.binary()),
-                pa.array([f[2].tobytes() for f in found], pa.binary()),
-                pa.array([np.array([k for _, k in f[3]], np.uint16).tobytes() for f in found], pa.binary()),
-                pa.array([np.array([counts[x] for x in f[3]], np.int32).tobytes() for f in found], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "words", "each", "ks", "counts"])
-
-        for blocks, train, texts in batches(rows, [OWN + "block", OWN + "train", "text"]):
-            for b, t, text in zip(blocks, train, texts, strict=True):
+            found = Block(texts, shards)
+            weight = np.repeat(np.array(train, np.float64), found.sizes)
+            return found.packets(block, np.bincount(found.at, weight, len(found.pairs)))
+
+        for blocks, flags, some in batches(rows, [OWN + "block", OWN + "train", "text"]):
+            for b, t, text in zip(blocks, flags, some, strict=True):
                 if b != block:
-                    if counts:
+                    if texts:
                         yield sent()
-                    block, counts = b, {}
-                one = int(t)
-                get = counts.get
-                for pair in tokens(text, classes):
-                    counts[pair] = get(pair, 0) + one
-        if counts:
+                    block, texts, train = b, [], []
+                texts.append(text)
+                train.append(t)
+        if texts:
             yield sent()
 
     return run
@@ -482,26 +478,18 @@ def _answer(key: tuple, sent: pa.Table, lexicon: pa.Table) -> pa.Table:
 
 def _score(shards: int, n: int, v: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, held, texts = (docs.column(c).to_pylist() for c in (OWN + "id", OWN + "held", "text"))
-        classes = _Contexts()
-        rows = [tokens(t, classes) for t in texts]
+        texts = docs.column("text").to_pylist()
         got = {r["shard"]: r for r in answers.to_pylist()}
-        place: dict[tuple[bytes, int], int] = {}
-        counts, chances = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        for shard, _, each, pairs in dealt(set().union(*rows), shards):
-            place.update(zip(pairs, range(len(place), len(place) + len(pairs)), strict=True))
-            counts.append(np.repeat(np.frombuffer(got[shard]["c"], np.int64), each))
-            chances.append(np.frombuffer(got[shard]["p"], np.float32))
-        c, p = np.concatenate(counts), np.concatenate(chances).astype(np.float64)
-        base = np.log10((c + 1) / (n + v + 1))
-        n_tokens, n_known, base_score, score = [], [], [], []
-        for row in rows:
-            at = np.fromiter(map(place.__getitem__, row), np.int64, len(row))
-            n_tokens.append(len(row))
-            n_known.append(int((c[at] > 0).sum()))
-            base_score.append(float(base[at].sum()))
-            score.append(float(p[at].sum()))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * len(ids), pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        found = Block(texts, shards)
+        c, p = np.empty(len(found.words), np.int64), np.empty(len(found.pairs))
+        for shard, w0, w1, p0, p1 in found.cuts():
+            c[w0:w1] = np.frombuffer(got[shard]["c"], np.int64)
+            p[p0:p1] = np.frombuffer(got[shard]["p"], np.float32)
+        of = found.pairs // CONTEXTS
+        known, base = (c > 0)[of], np.log10((c + 1) / (n + v + 1))[of]
+        sums = [np.add.reduceat(x[found.at], found.starts) for x in (known.astype(np.int64), base, p)]
+        columns = [docs.column(OWN + "id"), docs.column(OWN + "held"), pa.array(found.sizes), pa.array(sums[0]), pa.array(np.full(len(texts), n)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
