@@ -25,6 +25,7 @@ MEMO = 1 << 19
 _PIECES = regex.compile(PATTERN)
 #: White space as the pattern means it (str.isspace() also holds for four control characters).
 _WHITE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_WHITE_THEN_SPACE = regex.compile("[" + "".join(sorted(_WHITE)) + "] ")
 #: Texts that are cut into pieces at a time.
 TEXTS = 128
 
@@ -44,6 +45,27 @@ def read_vocabulary(path: str) -> dict:
     return {"vocab": j["model"]["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in j.get("added_tokens", [])}}
 
 
+def chunks(text: str) -> list[str]:
+    """Parts between whose ends no piece can lie: cut before a space that follows a character other than white space."""
+    parts = text.split(" ")
+    if len(parts) > 1:
+        parts[1:] = [" " + p for p in parts[1:]]
+        if not parts[0]:
+            del parts[0]
+    if not _WHITE_THEN_SPACE.search(text):
+        return parts if text else []
+    out: list[str] = []
+    joined = ""
+    for p in parts:
+        joined += p
+        if p and p[-1] not in _WHITE:
+            out.append(joined)
+            joined = ""
+    if joined:
+        out.append(joined)
+    return out
+
+
 class Bpe:
     def __init__(self, vocabulary: dict):
         vocab, alphabet = vocabulary["vocab"], byte_alphabet()
@@ -64,7 +86,7 @@ class Bpe:
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
         self.keys, self.ranks, self.made = keys[first], ranks[first], made
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces in one array, and how many each piece has."""
@@ -108,52 +130,34 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.bincount(owner, minlength=len(pieces))
 
-    def _chunks(self, text: str) -> list[str]:
-        """Parts between whose ends no piece can lie: cut before a space that follows a character other than white space."""
-        parts = text.split(" ")
-        if len(parts) > 1:
-            parts[1:] = [" " + p for p in parts[1:]]
-            if not parts[0]:
-                del parts[0]
-        if not any(p[-1:] in _WHITE for p in parts if p):
-            return parts if text else []
-        out: list[str] = []
-        joined = ""
-        for p in parts:
-            joined += p
-            if p and p[-1] not in _WHITE:
-                out.append(joined)
-                joined = ""
-        if joined:
-            out.append(joined)
-        return out
-
     def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of new chunks into the memo."""
-        cut = [_PIECES.findall(c) for c in chunks]
-        pieces = list(dict.fromkeys(p for c in cut for p in c))
+        """Puts the ids of new chunks into the memo, as little-endian 32-bit integers."""
+        memo = self.memo
+        cut = [(c,) if c[c[0] == " " :].isalpha() else _PIECES.findall(c) for c in chunks]
+        pieces = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in memo]
         ids, n = self.merged([p.encode("utf-8", "surrogatepass") for p in pieces])
-        ends = np.cumsum(n).tolist()
-        ids = ids.tolist()
-        of = {p: ids[e - k : e] for p, e, k in zip(pieces, ends, n.tolist(), strict=True)}
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        of = dict(zip(pieces, (raw[e - 4 * k : e] for e, k in zip(ends, n.tolist(), strict=True)), strict=True))
         for chunk, parts in zip(chunks, cut, strict=True):
-            self.memo[chunk] = tuple(of[parts[0]]) if len(parts) == 1 else tuple(i for p in parts for i in of[p])
+            if len(parts) > 1:
+                of[chunk] = b"".join([of[p] if p in of else memo[p] for p in parts])
+        memo.update(of)
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for at in range(0, len(texts), TEXTS):
             yield from self._encode_some([self._row(t or "") for t in texts[at : at + TEXTS]])
 
     def _row(self, text: str) -> list:
-        """A text's chunks, and ids where special tokens stand."""
+        """A text's chunks, and encoded ids where special tokens stand."""
         if not any(s in text for s in self.special):
-            return self._chunks(text)
+            return chunks(text)
         row: list = []
         for i, part in enumerate(self.cut.split(text)):
-            row += [self.special[part]] if i % 2 else self._chunks(part)
+            row += [int(self.special[part]).to_bytes(4, "little")] if i % 2 else chunks(part)
         return row
 
-    def _encode_some(self, rows: list[list]) -> Iterator[list[int]]:
+    def _encode_some(self, rows: list[list]) -> Iterator[np.ndarray]:
         memo = self.memo
         seen = [c for c in set().union(*rows) if c.__class__ is str]
         new = [c for c in seen if c not in memo]
@@ -163,13 +167,7 @@ class Bpe:
         if new:
             self._learn(new)
         for row in rows:
-            ids: list[int] = []
-            for c in row:
-                if c.__class__ is str:
-                    ids += memo[c]
-                else:
-                    ids.append(c)
-            yield ids
+            yield np.frombuffer(b"".join([memo[c] if c.__class__ is str else c for c in row]), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         """Special tokens stay; bytes that aren't UTF-8 become replacement characters."""

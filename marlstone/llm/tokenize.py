@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for ids, texts in batches(rows, ["doc_id", "text"]):
             for at in range(0, len(ids), ROWS):
                 got = list(coder.encode_batch(texts[at : at + ROWS]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + ROWS], pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + ROWS], pa.int64()), pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -52,7 +53,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         decimal = list(map(str, range(coder.size)))
         for ids, texts in batches(rows, ["doc_id", "text"]):
             counts, coded, decoded = [], [], []
-            for got in coder.encode_batch(texts):
+            for got in map(np.ndarray.tolist, coder.encode_batch(texts)):
                 counts.append(len(got))
                 coded.append(hashlib.sha256(",".join([decimal[i] for i in got]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(got).encode("utf-8", "surrogatepass")).hexdigest())
