@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, packing, pii, pitman_yor, quality, tiff, tokenize
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, pitman_yor, quality, tiff, token_output, tokenize
 from .common import OWN, table, with_uid
 
 
@@ -57,6 +57,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = token_output.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+    n_tokens = F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens")
+    return packed.select("block", "row", n_tokens, F.size("doc_ids").alias("n_segments"), "doc_ids", "starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op4_token_output": op4_token_output,
     "op5_tiff": op5_tiff,
     "op6_pitman_yor": op6_pitman_yor,
     "op8_pii": op8_pii,
