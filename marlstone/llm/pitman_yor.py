@@ -42,10 +42,12 @@ BLOCK_BITS = 10
 #: Rows for which one shard of words is made, and the most shards.
 SHARD_ROWS, MOST_SHARDS = 2048, 1024
 STIRLING = 64
-BURN_IN, SAMPLES = 1, 3
+BURN_IN, SAMPLES = 1, 2
 #: Sweeps over the spelling model between two samples of the words.
 SPELLING_SWEEPS = 3
 CELLS = 1 << 22
+#: Steps of log10 probabilities as shards send them to blocks: they are rounded to 1 / STEPS.
+STEPS = 2000
 ORDER = 4
 #: Classes of contexts, and the most bytes of a word that makes a context.
 CONTEXTS, SHORT = 1024, 4
@@ -235,6 +237,32 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
 # --- words in blocks and shards --------------------------------------------------
 
 
+def _pack(x: np.ndarray, kind=np.int64, rising: bool = False) -> bytes:
+    """Deflated; rising: as differences."""
+    x = x.astype(kind)
+    return zlib.compress((np.diff(x, prepend=x.dtype.type(0)) if rising else x).tobytes(), 1)
+
+
+def _open(data: bytes, kind=np.int64, rising: bool = False) -> np.ndarray:
+    x = np.frombuffer(zlib.decompress(data), kind)
+    return np.cumsum(x, dtype=x.dtype) if rising else x
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
+
+
+def _open_words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b" ")
+
+
+def _rows(batches_: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, as each holds a shard."""
+    for b in batches_:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """The tokens of a block's texts, as places in its distinct pairs, which are in order of shard, word and context."""
 
@@ -275,7 +303,7 @@ class Block:
         rows = []
         for shard, w0, w1, p0, p1 in self.cuts():
             of = self.pairs[p0:p1] // CONTEXTS - w0
-            rows.append((shard, block, b" ".join(self.words[w0:w1]), np.bincount(of, minlength=w1 - w0).astype(np.int32).tobytes(), (self.pairs[p0:p1] % CONTEXTS).astype(np.uint16).tobytes(), counts[p0:p1].astype(np.int32).tobytes()))
+            rows.append((shard, block, _pack_words(self.words[w0:w1]), _pack(np.bincount(of, minlength=w1 - w0), np.int32), _pack(self.pairs[p0:p1] % CONTEXTS, np.uint16), _pack(counts[p0:p1], np.int32)))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "words", "each", "ks", "counts"])
 
@@ -306,7 +334,8 @@ def _count_pairs(shards: int):
 
 
 _SENT = "shard int, block long, words binary, each binary, ks binary, counts binary"
-_LEXICON = "shard int, words binary, pairs binary, c binary, t binary, tables binary, weight binary, extra binary"
+_LEXICON = "shard int, block long, words binary, pairs binary, c binary, t binary, tables binary, weight binary, extra binary"
+_LEXICON_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("words", "pairs", "c", "t", "tables", "weight", "extra"))])
 
 
 class Lexicon:
@@ -314,39 +343,43 @@ class Lexicon:
 
     def __init__(self, row: dict):
         self.shard, self.raw = row["shard"], row["words"]
-        self.words = self.raw.split(b" ")
-        self.pairs, self.c, self.t, self.tables = (np.frombuffer(row[k], np.int64) for k in ("pairs", "c", "t", "tables"))
-        self.weight, self.extra = np.frombuffer(row["weight"]), np.frombuffer(row["extra"])
+        self.pairs = _open(row["pairs"], rising=True)
+        self.c, self.t, self.tables = (_open(row[k]) for k in ("c", "t", "tables"))
+        self.weight, self.extra = _open(row["weight"], np.float64), _open(row["extra"], np.float32)
         self.of, self.k = self.pairs // CONTEXTS, self.pairs % CONTEXTS
 
-    def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, x, len(self.words)).astype(np.int64)
-
-    def table(self) -> pa.Table:
-        kinds = pa.schema([("shard", pa.int32()), *((k, pa.binary()) for k in ("words", "pairs", "c", "t", "tables", "weight", "extra"))])
-        return pa.Table.from_pylist([{"shard": self.shard, "words": self.raw, **{k: getattr(self, k).tobytes() for k in ("pairs", "c", "t", "tables", "weight", "extra")}}], kinds)
+    @property
+    def words(self) -> list[bytes]:
+        return _open_words(self.raw)
 
+    def per_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, len(self.tables)).astype(np.int64)
 
-def _keys(place: dict[bytes, int], row: dict) -> np.ndarray:
-    """Pairs of a block's packet as the lexicon numbers them."""
-    at = np.fromiter((place[w] for w in row["words"].split(b" ")), np.int64)
-    return np.repeat(at, np.frombuffer(row["each"], np.int32)) * CONTEXTS + np.frombuffer(row["ks"], np.uint16)
+    def row(self) -> dict:
+        return {"shard": self.shard, "block": None, "words": self.raw, "pairs": _pack(self.pairs, rising=True), **{k: _pack(getattr(self, k)) for k in ("c", "t", "tables")}, "weight": _pack(self.weight, np.float64), "extra": _pack(self.extra, np.float32)}
 
 
 def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    place: dict[bytes, int] = {}
-    keys, counts = [], []
-    for r in rows.select(["words", "each", "ks", "counts"]).to_pylist():
-        for w in r["words"].split(b" "):
-            place.setdefault(w, len(place))
-        keys.append(_keys(place, r))
-        counts.append(np.frombuffer(r["counts"], np.int32).astype(np.int64))
+    """The shard's lexicon, and for each block a row with the places of its packet's pairs in it."""
+    packets = rows.select(["block", "words", "each", "ks", "counts"]).to_pylist()
+    every: set[bytes] = set()
+    for r in packets:
+        every.update(_open_words(r["words"]))
+    words = sorted(every)
+    place = dict(zip(words, range(len(words)), strict=True))
+    keys = []
+    for r in packets:
+        at = np.fromiter(map(place.__getitem__, _open_words(r["words"])), np.int64)
+        keys.append(np.repeat(at, _open(r["each"], np.int32)) * CONTEXTS + _open(r["ks"], np.uint16))
     pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(back, np.concatenate(counts), len(pairs)).astype(np.int64)
+    c = np.bincount(back, np.concatenate([_open(r["counts"], np.int32) for r in packets]), len(pairs)).astype(np.int64)
     t = np.minimum(c, 1)
-    tables = np.minimum(np.bincount(pairs // CONTEXTS, t, len(place)), 1).astype(np.int64)
-    row = {"shard": key[0].as_py(), "words": b" ".join(place), "pairs": pairs.tobytes(), "c": c.tobytes(), "t": t.tobytes(), "tables": tables.tobytes(), "weight": np.zeros(len(pairs)).tobytes(), "extra": np.zeros(len(place)).tobytes()}
-    return Lexicon(row).table()
+    tables = np.minimum(np.bincount(pairs // CONTEXTS, t, len(words)), 1).astype(np.int64)
+    shard = key[0].as_py()
+    first = {"shard": shard, "block": None, "words": _pack_words(words), "pairs": _pack(pairs, rising=True), "c": _pack(c), "t": _pack(t), "tables": _pack(tables), "weight": _pack(np.zeros(len(pairs)), np.float64), "extra": _pack(np.zeros(len(words)), np.float32)}
+    ends = np.cumsum([len(k) for k in keys])
+    routes = [{"shard": shard, "block": r["block"], "pairs": _pack(back[e - len(k) : e], np.int32, rising=True)} for r, k, e in zip(packets, keys, ends, strict=True)]
+    return pa.Table.from_pylist([first, *routes], _LEXICON_ARROW)
 
 
 _STATE = "n long, v long, ones long, twos long, ones0 long, twos0 long, customers binary, seated binary, tables0 long"
@@ -354,14 +387,13 @@ _STATE = "n long, v long, ones long, twos long, ones0 long, twos0 long, customer
 
 def _describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's share of the totals that all restaurants need: one short row each."""
-    for b in rows:
-        for r in b.to_pylist():
-            x = Lexicon(r)
-            own = x.per_word(x.t)
-            row = {"n": int(x.c.sum()), "v": int((x.per_word(x.c) > 0).sum()), "ones": int((x.c == 1).sum()), "twos": int((x.c == 2).sum()), "ones0": int((own == 1).sum()), "twos0": int((own == 2).sum())}
-            row |= {"customers": np.bincount(x.k, x.c, CONTEXTS).astype(np.int64).tobytes(), "seated": np.bincount(x.k, x.t, CONTEXTS).astype(np.int64).tobytes(), "tables0": int(x.tables.sum())}
-            kinds = pa.schema([(k, pa.binary() if k in ("customers", "seated") else pa.int64()) for k in row])
-            yield pa.RecordBatch.from_pylist([row], kinds)
+    for r in _rows(rows):
+        x = Lexicon(r)
+        own = x.per_word(x.t)
+        row = {"n": int(x.c.sum()), "v": int((x.per_word(x.c) > 0).sum()), "ones": int((x.c == 1).sum()), "twos": int((x.c == 2).sum()), "ones0": int((own == 1).sum()), "twos0": int((own == 2).sum())}
+        row |= {"customers": np.bincount(x.k, x.c, CONTEXTS).astype(np.int64).tobytes(), "seated": np.bincount(x.k, x.t, CONTEXTS).astype(np.int64).tobytes(), "tables0": int(x.tables.sum())}
+        kinds = pa.schema([(k, pa.binary() if k in ("customers", "seated") else pa.int64()) for k in row])
+        yield pa.RecordBatch.from_pylist([row], kinds)
 
 
 @dataclass
@@ -384,50 +416,51 @@ def _state(lexicon: DataFrame) -> State:
     return State(total["n"], total["v"], discount(total["ones"], total["twos"]), discount(total["ones0"], total["twos0"]), customers, seated, total["tables0"])
 
 
-_CELLS = "part int, tag long, cells binary, n binary"
+_CELLS = "part int, tag long, cells binary, n binary, size long"
 PARTS = 16
 
 
 def _cells_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spellings that the shards' tables order, cut by the last byte so that parts are merged apart."""
-    for b in rows:
-        for r in b.to_pylist():
-            words, t = r["words"].split(b" "), np.frombuffer(r["tables"], np.int64)
-            some = [i for i in np.flatnonzero(t > 0) if words[i] != STOP]
-            cells, n = spelling_cells([words[i] for i in some], t[some])
-            part = cells % PARTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PARTS), pa.int32()), pa.array([r["shard"]] * PARTS, pa.int64()), pa.array([cells[part == k].tobytes() for k in range(PARTS)], pa.binary()), pa.array([n[part == k].tobytes() for k in range(PARTS)], pa.binary())],
-                names=["part", "tag", "cells", "n"],
-            )
+    for r in _rows(rows):
+        words, t = _open_words(r["words"]), _open(r["tables"])
+        some = [i for i in np.flatnonzero(t > 0) if words[i] != STOP]
+        cells, n = spelling_cells([words[i] for i in some], t[some])
+        cut = [cells % PARTS == k for k in range(PARTS)]
+        columns = [pa.array(range(PARTS), pa.int32()), pa.array([r["shard"]] * PARTS, pa.int64()), pa.array([_pack(cells[k], rising=True) for k in cut], pa.binary()), pa.array([_pack(n[k]) for k in cut], pa.binary()), pa.array([int(k.sum()) for k in cut], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "tag", "cells", "n", "size"])
+
+
+def _cells_row(part: int, tag: int, cells: np.ndarray, n: np.ndarray) -> pa.Table:
+    kinds = pa.schema([("part", pa.int32()), ("tag", pa.int64()), ("cells", pa.binary()), ("n", pa.binary()), ("size", pa.int64())])
+    return pa.Table.from_pylist([{"part": part, "tag": tag, "cells": _pack(cells, rising=True), "n": _pack(n), "size": len(cells)}], kinds)
 
 
 def _merge_cells(key: tuple, rows: pa.Table) -> pa.Table:
     found = rows.to_pylist()
-    cells, back = np.unique(np.concatenate([np.frombuffer(r["cells"], np.int64) for r in found]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([np.frombuffer(r["n"], np.int64) for r in found]), len(cells)).astype(np.int64)
-    kinds = pa.schema([("part", pa.int32()), ("tag", pa.int64()), ("cells", pa.binary()), ("n", pa.binary())])
-    return pa.Table.from_pylist([{"part": found[0]["part"], "tag": found[0]["tag"], "cells": cells.tobytes(), "n": n.tobytes()}], kinds)
+    cells, back = np.unique(np.concatenate([_open(r["cells"], rising=True) for r in found]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([_open(r["n"]) for r in found]), len(cells)).astype(np.int64)
+    return _cells_row(found[0]["part"], found[0]["tag"], cells, n)
 
 
 def _gathered(lexicon: DataFrame, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray, int]:
     """The spelling model's cells and customers, and its context length."""
     parts = fold(lexicon.select("shard", "words", "tables").mapInArrow(_cells_of, _CELLS), "part", ["tag"], _merge_cells, work, name)
     order = ORDER
-    while order > 2 and (parts.select(F.sum(F.octet_length("cells"))).first()[0] or 0) // 8 > CELLS:
+    while order > 2 and (parts.agg(F.sum("size")).first()[0] or 0) > CELLS:
         order -= 1
         mask = (1 << (8 * (order + 1))) - 1
 
         def shorten(key: tuple, rows: pa.Table, mask: int = mask) -> pa.Table:
             r = rows.to_pylist()[0]
-            cells, back = np.unique(np.frombuffer(r["cells"], np.int64) & mask, return_inverse=True)
-            n = np.bincount(back, np.frombuffer(r["n"], np.int64), len(cells)).astype(np.int64)
-            return pa.Table.from_pylist([{**r, "cells": cells.tobytes(), "n": n.tobytes()}], rows.schema)
+            cells, back = np.unique(_open(r["cells"], rising=True) & mask, return_inverse=True)
+            return _cells_row(r["part"], r["tag"], cells, np.bincount(back, _open(r["n"]), len(cells)).astype(np.int64))
 
         # Parts are cut by the last byte, so shortened cells still lie in one part each.
         parts = work.save(parts.groupBy("part").applyInArrow(shorten, _CELLS), f"{name}_short{order}")
     found = parts.collect()
-    cells, n = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[k], np.int64) for r in found)]) for k in ("cells", "n"))
+    cells = np.concatenate([np.zeros(0, np.int64), *(_open(r["cells"], rising=True) for r in found)])
+    n = np.concatenate([np.zeros(0, np.int64), *(_open(r["n"]) for r in found)])
     by = np.argsort(cells)
     return cells[by], n[by], order
 
@@ -437,42 +470,43 @@ def _seat_shard(model, state: State, seed: int, count: bool):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s, log_s0 = stirling(state.d), stirling(state.d0)
-        for b in rows:
-            for r in b.to_pylist():
-                x = Lexicon(r)
-                rng = np.random.default_rng([seed, x.shard])
-                log_p = log_spelling(x.words, model.value)
-                # Spellings too unlikely for a double carry the rest of their logarithm along.
-                x.extra = np.minimum(log_p - LEAST_LOG, 0)
-                spelling = (1 - END) * np.exp(np.maximum(log_p, LEAST_LOG))
-                spelling[[i for i, w in enumerate(x.words) if w == STOP]] = END
-                served = int(state.seated.sum())
-                word = lambda: (np.maximum(x.per_word(x.t) - state.d0 * x.tables, 0) + (THETA + state.d0 * state.tables0) * spelling) / (THETA + served)  # noqa: B023, E731
-                p = word()[x.of]
-                x.t = np.where(x.c > 0, seat(x.c, x.t, state.seated[x.k], p, state.d, log_s, rng), 0)
-                own = x.per_word(x.t)
-                x.tables = np.where(own > 0, seat(own, x.tables, np.full(len(own), state.tables0), spelling, state.d0, log_s0, rng), 0)
-                if count:
-                    p = word()[x.of]
-                    x.weight = x.weight + (np.maximum(x.c - state.d * x.t, 0) + (THETA + state.d * state.seated[x.k]) * p) / (THETA + state.customers[x.k])
-                yield from x.table().to_batches()
+        for r in _rows(rows):
+            x = Lexicon(r)
+            rng = np.random.default_rng([seed, x.shard])
+            words = x.words
+            log_p = log_spelling(words, model.value)
+            # Spellings too unlikely for a double carry the rest of their logarithm along.
+            x.extra = np.minimum(log_p - LEAST_LOG, 0)
+            spelling = (1 - END) * np.exp(np.maximum(log_p, LEAST_LOG))
+            spelling[[i for i, w in enumerate(words) if w == STOP]] = END
+            served = int(state.seated.sum())
+
+            def word(x=x, spelling=spelling, served=served) -> np.ndarray:
+                return (np.maximum(x.per_word(x.t) - state.d0 * x.tables, 0) + (THETA + state.d0 * state.tables0) * spelling) / (THETA + served)
+
+            x.t = np.where(x.c > 0, seat(x.c, x.t, state.seated[x.k], word()[x.of], state.d, log_s, rng), 0)
+            own = x.per_word(x.t)
+            x.tables = np.where(own > 0, seat(own, x.tables, np.full(len(own), state.tables0), spelling, state.d0, log_s0, rng), 0)
+            if count:
+                x.weight = x.weight + (np.maximum(x.c - state.d * x.t, 0) + (THETA + state.d * state.seated[x.k]) * word()[x.of]) / (THETA + state.customers[x.k])
+            yield from pa.Table.from_pylist([x.row()], _LEXICON_ARROW).to_batches()
 
     return run
 
 
-def _answer(key: tuple, sent: pa.Table, lexicon: pa.Table) -> pa.Table:
+def _answer(key: tuple, routes: pa.Table, lexicon: pa.Table) -> pa.Table:
     """What a shard sends back to each block: counts of words and log10 probabilities of pairs, in the order of the block's packet."""
     x = Lexicon(lexicon.to_pylist()[0])
-    place = {w: i for i, w in enumerate(x.words)}
     c = x.per_word(x.c)
-    p = (np.log10(x.weight / SAMPLES) + np.where(c > 0, 0, x.extra / np.log(10))[x.of]).astype(np.float32)
+    p = np.rint(STEPS * (np.log10(x.weight / SAMPLES) + np.where(c > 0, 0, x.extra / np.log(10))[x.of])).astype(np.int32)
     out: dict[str, list] = {"block": [], "shard": [], "c": [], "p": []}
-    for s in sent.select(["block", "words", "each", "ks"]).to_pylist():
-        at = np.fromiter((place[w] for w in s["words"].split(b" ")), np.int64)
-        out["block"].append(s["block"])
+    for r in routes.select(["block", "pairs"]).to_pylist():
+        at = _open(r["pairs"], np.int32, rising=True)
+        own = x.of[at]
+        out["block"].append(r["block"])
         out["shard"].append(x.shard)
-        out["c"].append(c[at].tobytes())
-        out["p"].append(p[np.searchsorted(x.pairs, _keys(place, s))].tobytes())
+        out["c"].append(_pack(c[own[np.flatnonzero(np.diff(own, prepend=-1))]]))
+        out["p"].append(_pack(p[at], np.int32))
     return pa.Table.from_pydict(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("c", pa.binary()), ("p", pa.binary())]))
 
 
@@ -483,8 +517,8 @@ def _score(shards: int, n: int, v: int):
         found = Block(texts, shards)
         c, p = np.empty(len(found.words), np.int64), np.empty(len(found.pairs))
         for shard, w0, w1, p0, p1 in found.cuts():
-            c[w0:w1] = np.frombuffer(got[shard]["c"], np.int64)
-            p[p0:p1] = np.frombuffer(got[shard]["p"], np.float32)
+            c[w0:w1] = _open(got[shard]["c"])
+            p[p0:p1] = _open(got[shard]["p"], np.int32) / STEPS
         of = found.pairs // CONTEXTS
         known, base = (c > 0)[of], np.log10((c + 1) / (n + v + 1))[of]
         sums = [np.add.reduceat(x[found.at], found.starts) for x in (known.astype(np.int64), base, p)]
@@ -509,8 +543,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     rows = with_uid(docs).select(F.shiftright(UID, BLOCK_BITS).alias(OWN + "block"), F.col(id_col).cast("long").alias(OWN + "id"), held.alias(OWN + "held"), F.col(text_col).alias("text"))
 
-    sent = work.save(rows.select(OWN + "block", (~F.col(OWN + "held")).alias(OWN + "train"), "text").mapInArrow(_count_pairs(shards), _SENT), "sent")
-    lexicon = work.save(sent.groupBy("shard").applyInArrow(_merge_pairs, _LEXICON), "lexicon")
+    sent = rows.select(OWN + "block", (~F.col(OWN + "held")).alias(OWN + "train"), "text").mapInArrow(_count_pairs(shards), _SENT)
+    merged = work.save(sent.groupBy("shard").applyInArrow(_merge_pairs, _LEXICON), "merged")
+    lexicon, routes = merged.where("block IS NULL"), merged.where("block IS NOT NULL")
     state = _state(lexicon)
     rng = np.random.default_rng(seed)
     for i in range(BURN_IN + SAMPLES):
@@ -519,6 +554,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             spelling.sweep(rng)
         model = spark.sparkContext.broadcast(spelling.frozen())
         lexicon = work.save(lexicon.mapInArrow(_seat_shard(model, state, seed + i, i >= BURN_IN), _LEXICON), f"seated{i}")
+        if i:
+            work.drop(f"seated{i - 1}")
         state = _state(lexicon)
-    answers = work.save(sent.drop("counts").groupBy("shard").cogroup(lexicon.groupBy("shard")).applyInArrow(_answer, "block long, shard int, c binary, p binary"), "answers")
+    answers = work.save(routes.select("shard", "block", "pairs").groupBy("shard").cogroup(lexicon.groupBy("shard")).applyInArrow(_answer, "block long, shard int, c binary, p binary"), "answers")
     return rows.groupBy(OWN + "block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, state.n, state.v), _SCORED)
