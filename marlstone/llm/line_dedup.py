@@ -11,8 +11,8 @@ its deletion variants, all strings that deleting up to one character leaves, as
 Either way a key gives one pair for each of its lines, never all pairs, and no link is lost.  Every pair's edit
 distance is verified on the lines themselves.
 
-Lines one edit apart share their first or their second half, so a line whose halves nobody
-shares has no neighbour and need not emit variants.  This filter is exact.
+Lines one edit apart are equal outside the quarter that holds the edit.  So a line emits variants only for those of its quarters
+whose surroundings it shares with another line; this filter is exact, and leaves few variants.
 
 Defined results: null text counts as empty and stays null; blank lines are always kept and lines of fewer than
 `shortest` characters only equal their exact copies; a null id sorts first; rows that repeat an id keep their
@@ -82,14 +82,33 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-def _half_keys(line: str) -> np.ndarray:
-    """Two lines of one edit share at least one: prefixes and suffixes of half the length, with both roundings, so that lengths
-    that differ by one meet."""
+QUARTERS = 4
+
+
+def _surroundings(line: str) -> np.ndarray:
+    """What is left and right of each quarter, as keys.
+
+    Quarters are those of the shorter line's length, which is this line's or one less; key number 4 * (0 or 1) + quarter.
+    """
     x = _letters(line)
     n = len(x)
     ahead, back = prefix_hashes(x), prefix_hashes(x[::-1])
-    sizes = np.unique([max(n - 1, 0) // 2, n // 2])
-    return mixed(np.concatenate((ahead[sizes] + (2 * sizes).astype(np.uint64), back[sizes] + (2 * sizes + 1).astype(np.uint64))))
+    quarter = np.tile(np.arange(QUARTERS), 2)
+    short = np.repeat([n, max(n - 1, 0)], QUARTERS)
+    left = quarter * (short // QUARTERS)
+    right = np.where(quarter == QUARTERS - 1, 0, short - (quarter + 1) * (short // QUARTERS))
+    return mixed(ahead[left] + mixed(back[right] + (short * QUARTERS + quarter).astype(np.uint64)))
+
+
+def _open_places(n: int, mask: int) -> np.ndarray:
+    """Places of a line of n characters that lie in the quarters of a mask of key numbers."""
+    out = np.zeros(n, bool)
+    for k in range(2 * QUARTERS):
+        if mask >> k & 1:
+            quarter, short = k % QUARTERS, n - k // QUARTERS
+            size = short // QUARTERS
+            out[quarter * size : n if quarter == QUARTERS - 1 else (quarter + 1) * size + 1] = True
+    return np.flatnonzero(out)
 
 
 #: A line is named by its earliest place; `id` comes first in the order of lines.
@@ -98,29 +117,32 @@ _KEYS = "id long, uid long, place int, key long, kind byte"
 SUBSTITUTED, LONGER, WHOLE = 0, 1, 2
 
 
-def _emit(keys_of):
-    """keys_of: line -> (hashes, kinds)."""
+def _emit(keys_of, *columns: str):
+    """keys_of: a row's values of columns -> (hashes, kinds)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                found = [keys_of(x) for x in part.column(3).to_pylist()]
+                found = [keys_of(*x) for x in zip(*(part.column(c).to_pylist() for c in columns), strict=True)]
                 index = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in found]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(index) for i in range(3)), pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([x for _, x in found]).astype(np.int8))], names=[*_PLACE, "key", "kind"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(index) for c in _PLACE), pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([x for _, x in found]).astype(np.int8))], names=[*_PLACE, "key", "kind"])
 
     return run
 
 
-def _halves(line: str) -> tuple[np.ndarray, np.ndarray]:
-    keys = _half_keys(line)
-    return keys, np.zeros(len(keys), np.int8)
+_KEY_NUMBERS = np.arange(2 * QUARTERS, dtype=np.int8)
+
+
+def _filter_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
+    return _surroundings(line), _KEY_NUMBERS
 
 
-def _neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
+def _neighbourhood(line: str, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Variants with the place of the deletion, variants without it, and the line itself."""
-    v = variants(line)
-    placed = mixed(v + (np.arange(len(v), dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    places = _open_places(len(line), mask)
+    v = variants(line)[places]
+    placed = mixed(v + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     longer = np.unique(v)
     kinds = np.repeat(np.array([SUBSTITUTED, LONGER, WHOLE], np.int8), [len(v), len(longer), 1])
     return np.concatenate((placed, longer, _hash(_letters(line)))), kinds
@@ -134,10 +156,11 @@ def _near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near_duplicates(lines: DataFrame, work: Workspace) -> DataFrame:
     """(uid, place) of the distinct lines that have an earlier line within one edit.  lines: id, uid, place, line."""
-    halves = work.save(lines.mapInArrow(_emit(_halves), _KEYS).drop("kind", "id"), "halves")
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lines = work.save(lines.join(halves.join(shared, "key", "left_semi").select("uid", "place").distinct(), ["uid", "place"], "left_semi").select(*_PLACE, "line"), "suspects")
-    emitted = work.save(lines.mapInArrow(_emit(_neighbourhood), _KEYS), "variants")
+    keys = work.save(lines.mapInArrow(_emit(_filter_keys, "line"), _KEYS).select("uid", "place", "key", "kind"), "filter_keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    masks = keys.join(shared, "key", "left_semi").groupBy("uid", "place").agg(F.bit_or(F.expr("shiftleft(1, cast(kind as int))")).alias("mask"))
+    lines = work.save(lines.join(masks, ["uid", "place"]).select(*_PLACE, "line", "mask"), "suspects")
+    emitted = work.save(lines.mapInArrow(_emit(_neighbourhood, "line", "mask"), _KEYS), "variants")
 
     me, other = F.struct(*_PLACE), F.struct(*[F.col("o." + c) for c in _PLACE])
     as_o = lambda df: df.select("key", F.struct(*_PLACE).alias("o"))
