@@ -105,17 +105,21 @@ def _step(x, key):
 
 
 class _Missing:
-    pass
+    """No such key.  Workers may hold copies of the one instance, so it is told by its class."""
 
 
 _MISSING = _Missing()
 
 
+def missing(x) -> bool:
+    return isinstance(x, _Missing)
+
+
 def walk(x, path):
     for key in path:
         x = _step(x, key)
-        if x is _MISSING:
-            return _MISSING
+        if missing(x):
+            return x
     return x
 
 
@@ -146,7 +150,7 @@ def get(j, *path) -> Column:
 
     def one(x):
         got = walk(parse(x), path)
-        return None if got is _MISSING else dump(got)
+        return None if missing(got) else dump(got)
 
     return _udf("string", one)(col(j))
 
@@ -156,7 +160,7 @@ def get_text(j, *path) -> Column:
 
     def one(x):
         got = walk(parse(x), path)
-        return None if got is _MISSING else text_of(got)
+        return None if missing(got) else text_of(got)
 
     return _udf("string", one)(col(j))
 
@@ -248,7 +252,7 @@ def delete_path(j, path) -> Column:
         at = walk(v, parts[:-1])
         if isinstance(at, dict):
             at.pop(parts[-1], None)
-        elif isinstance(at, list) and _step(at, parts[-1]) is not _MISSING:
+        elif isinstance(at, list) and not missing(_step(at, parts[-1])):
             del at[int(parts[-1])]
         return dump(v)
 
@@ -268,7 +272,7 @@ def jsonb_set(j, path, new, create: bool = True) -> Column:
             if create or parts[-1] in at:
                 at[parts[-1]] = put
         elif isinstance(at, list):
-            if _step(at, parts[-1]) is not _MISSING:
+            if not missing(_step(at, parts[-1])):
                 at[int(parts[-1])] = put
             elif create:
                 at.insert(0, put) if int(parts[-1]) < 0 else at.append(put)

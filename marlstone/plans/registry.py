@@ -9,3 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "revenue_by_nation_month"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name; sql: the same for DuckDB, where SQL can say it."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        QUERIES[key] = f
+        if sql is not None:
+            SQL[key] = sql
+        return f
+
+    return put
+
+
+class Tables:
+    """The tables of a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+from . import queries_engines, queries_functions, queries_relational  # noqa: E402, F401
