@@ -169,3 +169,23 @@ def stream_tumbling(spark, sf):
     rolled = st.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")])
     name = "ms_stream_" + tempfile.mktemp(prefix="", dir="").strip("/").replace("-", "_")
     return st.run_to_end(rolled, name, mode="complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+# --- the SQL front end -----------------------------------------------------------------------------------
+
+
+def _dialect(name: str, text: str, oracle: str, *tables: str) -> None:
+    def run(spark, sf):
+        from .engine import Engine
+
+        return Engine(spark).register(sf, *tables).sql(text)
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+_dialect("dialect_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "orders")
+_dialect("dialect_casts_and_regex", "SELECT p_partkey, p_size::text AS t, (p_retailprice * 2)::int8 AS i, p_name ~ '^[a-m]' AS r, p_name !~* 'X' AS n FROM part WHERE p_size BETWEEN SYMMETRIC 30 AND 10", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS t, CAST(trunc(p_retailprice * 2) AS BIGINT) AS i, regexp_matches(p_name, '^[a-m]') AS r, NOT regexp_matches(p_name, 'X', 'i') AS n FROM part WHERE p_size BETWEEN 10 AND 30", "part")
+_dialect("dialect_any_fetch_similar", "SELECT p_partkey FROM part WHERE p_size = ANY(ARRAY[1, 5, 9]) AND p_name SIMILAR TO '%(a|e)%' ORDER BY p_partkey FETCH FIRST 20 ROWS ONLY", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND regexp_matches(p_name, 'a|e') ORDER BY p_partkey LIMIT 20", "part")
+_dialect("dialect_null_order", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY nullif(c_nationkey, 3) DESC, c_custkey LIMIT 30", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey LIMIT 30", "customer")
+_dialect("dialect_json_arrow", "SELECT event_id, props ->> 'k' AS k FROM events WHERE (props ->> 'k')::int8 > 50", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50", "events")

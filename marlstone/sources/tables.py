@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +77,7 @@ class Catalog:
         from ..operators import constraints as c
 
         t = self.tables[name]
-        path = f"{t.path}/snapshot={len(self.snapshots[name])}"
+        path = f"{t.path}/snapshot={uuid.uuid4().hex}"
         rows.write.parquet(path)
         written = self.spark.read.schema(t.schema).parquet(path)
         found = {f"{name}_check_{k}": c.check(written, v) for k, v in t.checks.items()}
@@ -114,6 +116,8 @@ class Catalog:
             rows = rows.withColumn(c, F.col(c).cast(kind))
         t.schema = rows.schema
         t.primary_key = [(rename or {}).get(k, k) for k in t.primary_key]
+        for a, b in (rename or {}).items():
+            t.checks = {k: re.sub(rf"\b{re.escape(a)}\b", b, v) for k, v in t.checks.items()}
         self.replace(name, rows)
 
     def create_enum(self, name: str, labels: list[str]) -> None:
