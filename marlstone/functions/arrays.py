@@ -202,3 +202,9 @@ def ordered_agg(x, *keys, keep_nulls: bool = True) -> Column:
     rows = F.sort_array(F.collect_list(F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], col(x).alias("x"))))
     values = F.transform(rows, lambda s: s["x"])
     return F.when(F.size(rows) > 0, values if keep_nulls else F.filter(values, lambda e: e.isNotNull()))
+
+
+def lockstep(**sets) -> list[Column]:
+    """Set-returning calls of one select list: rows side by side, short ones padded with NULL.  name=array."""
+    zipped = F.arrays_zip(*[col(a).alias(n) for n, a in sets.items()])
+    return [F.inline(F.transform(zipped, lambda z: F.struct(*[z[n].alias(n) for n in sets])))]

@@ -97,8 +97,9 @@ def unnest_with_ordinality(spark, sf):
 
 @query("SELECT g AS n, CAST(h AS TIMESTAMP) AS h FROM generate_series(1, 10, 3) a(g), generate_series(TIMESTAMP '2020-01-01', TIMESTAMP '2020-01-02', INTERVAL '8 hours') b(h)")
 def generate_series_(spark, sf):
-    n = spark.range(1).select(a.generate_series(1, 10, 3).cast("bigint").alias("n"))
-    return n.select("n", a.generate_series(F.lit(dt.datetime(2020, 1, 1)), F.lit(dt.datetime(2020, 1, 2)), F.expr("INTERVAL '8' HOUR")).cast("timestamp_ntz").alias("h"))
+    n = spark.range(1).select(a.generate_series(1, 10, 3).alias("n"))
+    h = n.select("n", a.generate_series(F.lit(dt.datetime(2020, 1, 1)), F.lit(dt.datetime(2020, 1, 2)), F.expr("INTERVAL '8' HOUR")).alias("h"))
+    return h.select(F.col("n").cast("bigint").alias("n"), F.col("h").cast("timestamp_ntz").alias("h"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(props) = 'OBJECT' AS is_obj, len(json_keys(props)) AS n, json_extract_string(props, '$.nope') AS no FROM events""")

@@ -40,10 +40,10 @@ class JsonIndex:
     def __init__(self, df: DataFrame, key: str, column: str):
         self.df, self.key, self.column = df, key, column
         pairs = F.from_json(F.col(column), "map<string,string>")
-        self.postings = df.select(F.col(key), F.explode(pairs).alias("k", "v"))
+        self.postings = df.select(F.col(key), F.explode(pairs).alias("__ms_k", "__ms_v"))
 
     def search(self, pattern: dict[str, str], recheck: Column) -> DataFrame:
         rows = self.df
         for k, v in pattern.items():
-            rows = rows.join(self.postings.where((F.col("k") == k) & (F.col("v") == v)).select(self.key).distinct(), self.key, "left_semi")
+            rows = rows.join(self.postings.where((F.col("__ms_k") == k) & (F.col("__ms_v") == v)).select(self.key).distinct(), self.key, "left_semi")
         return rows.where(recheck)

@@ -135,3 +135,10 @@ def test_engine_statements(spark):
     assert e.sql("SELECT n_name FROM nation WHERE n_nationkey < $1", 2).count() == 2
     assert e.sql("ANALYZE nation").count() == 3
     assert len(list(e.cursor("SELECT * FROM nation"))) == 25
+
+
+def test_lockstep_sets(spark):
+    from marlstone.functions.arrays import lockstep
+
+    df = spark.range(1).select(*lockstep(a=F.array(F.lit(1), F.lit(2)), b=F.array(F.lit("x"))))
+    assert [tuple(r) for r in df.collect()] == [(1, "x"), (2, None)]
