@@ -8,12 +8,15 @@
    log weights are rounded to an eighth.  Equal samples have the probability of the weighted
    Jaccard similarity.
 3. Samples are banded.  Copies of one text count as one, so buckets hold different
-   texts; every text of a bucket is linked to two leaders, whose choice differs
-   between bands.  No bucket is expanded into pairs.
+   texts; every text of a bucket is first linked to two leaders, whose choice differs
+   between bands.
 4. Links whose samples agree enough are verified: the weighted Jaccard similarity of the whole
    texts (or the plain one, which shingles of large groups can't pull down) is at least
    0.8.  One link per text goes first; the others only where they would join two groups.
-5. Connected components of the verified links, and the copies, are the classes.
+5. Buckets whose other members still lie in several groups are settled in full: all their pairs
+   between groups are compared, in pairs of blocks of about BLOCK texts.  A pair is compared in the first band
+   where it meets; a large group has blocks of its own, which are not compared with each other.
+6. Connected components of the verified links, and the copies, are the classes.
 
 Defined results: null text counts as empty; texts without words are equal
 to each other's exact copies only; the smallest id (nulls last) of a class stays, and the first
@@ -42,6 +45,8 @@ K = BANDS * ROWS
 THRESHOLD = 0.8
 #: Share of equal samples from which a link is verified (sampling error at 0.8: 0.05).
 LEAST_SAMPLES = 0.5
+#: Texts in a block of a bucket that the leaders did not settle.
+BLOCK = 256
 VARIATES = 1 << 14
 LEVELS = 128
 
@@ -187,19 +192,25 @@ def _elements(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
     return sh + at.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
 
 
-def similarities(pairs: list[tuple[int, int]], texts: list[bytes], idf: np.ndarray) -> list[tuple[float, float]]:
-    """(weighted, plain) Jaccard similarity of the multisets of shingles, for pairs of indexes into texts."""
-    sh, n = shingles(texts)
+def similarity(sh: np.ndarray, n: np.ndarray, idf: np.ndarray):
+    """A function of two indexes of texts: (weighted, plain) Jaccard similarity of the multisets of shingles."""
     w, el = idf[_features(sh)].astype(np.float64), _elements(sh, n)
     ends = np.cumsum(n)
-    out = []
-    for i, j in pairs:
+
+    def of(i: int, j: int) -> tuple[float, float]:
         a, b = slice(ends[i] - n[i], ends[i]), slice(ends[j] - n[j], ends[j])
         common = np.isin(el[a], el[b], assume_unique=True)
         shared = w[a][common].sum()
         total, union = w[a].sum() + w[b].sum() - shared, n[i] + n[j] - common.sum()
-        out.append((shared / total if total else 0.0, common.sum() / union if union else 0.0))
-    return out
+        return shared / total if total else 0.0, common.sum() / union if union else 0.0
+
+    return of
+
+
+def similarities(pairs: list[tuple[int, int]], texts: list[bytes], idf: np.ndarray) -> list[tuple[float, float]]:
+    """(weighted, plain) Jaccard similarity for pairs of indexes into texts."""
+    of = similarity(*shingles(texts), idf)
+    return [of(i, j) for i, j in pairs]
 
 
 def _verify(idf, threshold: float):
@@ -261,16 +272,106 @@ def _node_filter(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """UID and text of the rows whose UID is in nodes."""
+    bits = docs.sparkSession.sparkContext.broadcast(_node_filter(nodes))
+    return work.save(docs.select(UID, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_maybe(bits, FILTER_BITS), f"{UID} long, text string").join(nodes, UID, "left_semi"), name)
+
+
 def _verified(edges: DataFrame, docs: DataFrame, idf, threshold: float, work: Workspace, name: str) -> DataFrame:
     """The edges whose whole texts are similar enough; only texts on an edge are moved."""
     nodes = work.save(edges.select(F.explode(F.array("a", "b")).alias(UID)).distinct(), name + "_nodes")
-    bits = docs.sparkSession.sparkContext.broadcast(_node_filter(nodes))
-    texts = work.save(docs.select(UID, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_maybe(bits, FILTER_BITS), f"{UID} long, text string").join(nodes, UID, "left_semi"), name + "_texts")
+    texts = _texts(docs, nodes, work, name + "_texts")
     with_b = edges.join(texts.select(F.col(UID).alias("b"), F.col("text").alias("tb")), "b")
     with_a = with_b.join(texts.select(F.col(UID).alias("a"), F.col("text").alias("ta")), "a")
     return work.save(with_a.select("a", "b", "ta", "tb").mapInArrow(_verify(idf, threshold), "a long, b long"), name)
 
 
+def _candidates(rows: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of places in one task's rows that it has to decide: blocks and groups differ, samples agree, no earlier band has both."""
+    side, root = (rows.column(c).to_numpy() for c in ("side", "root"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+    bands = np.array(rows.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    band, both = rows.column("band")[0].as_py(), bool((side > 0).any())
+    out = []
+    for i in np.flatnonzero(side == 0):
+        others = np.flatnonzero(side == 1) if both else np.arange(i + 1, len(side))
+        others = others[root[others] != root[i]]
+        met = (bands[others, :band] == bands[i, :band]).any(axis=1)
+        near = (sig[others] == sig[i]).mean(axis=1) >= LEAST_SAMPLES
+        out += [(int(i), int(j)) for j in others[near & ~met]]
+    return out
+
+
+_TASK = f"task long, band int, side int, {UID} long, root long, bands array<long>, sig binary"
+
+
+def _in_question(rows: pa.Table) -> pa.Table:
+    """The rows of a task that some candidate has."""
+    at = sorted({i for pair in _candidates(rows) for i in pair})
+    return rows.take(pa.array(at, pa.int64()))
+
+
+def _settle(idf, threshold: float):
+    """Verified pairs of a task; pairs whose groups it has joined already are left out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        uids, roots = rows.column(UID).to_pylist(), rows.column("root").to_pylist()
+        parts = [shingles(part) for _, part in chunks(rows.column("text").to_pylist())]
+        similar = similarity(*(np.concatenate(x) for x in zip(*parts, strict=True)), idf.value)
+        top = {r: r for r in roots}
+
+        def find(r: int) -> int:
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
+        found = []
+        for i, j in _candidates(rows):
+            x, y = find(roots[i]), find(roots[j])
+            if x != y and max(similar(i, j)) >= threshold:
+                top[x] = y
+                found.append((uids[i], uids[j]))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _unsettled(met: DataFrame, roots: DataFrame, signatures: DataFrame, work: Workspace) -> DataFrame:
+    """_TASK rows: the members of two blocks (or of one) of a bucket whose members, without the leaders, lie in several groups.
+
+    met: u, band, key, x, low, high.  Links to leaders have been decided by now.
+    """
+    rest = met.where("x <> low AND x <> high").select("band", "key", "u")
+    rest = rest.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    groups = rest.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    pooled = F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0))
+    open_ = groups.groupBy("band", "key").agg(F.count("*").alias("groups"), pooled.alias("pooled")).where("groups > 1").select("band", "key", "pooled")
+    size = F.when(F.col("n") < BLOCK, F.col("pooled")).otherwise(F.col("n"))
+    # Groups under BLOCK texts share the blocks of the owner -1.
+    owned = groups.join(open_, ["band", "key"]).select("band", "key", "root", F.when(F.col("n") < BLOCK, -1).otherwise(F.col("root")).alias("owner"), F.ceil(size / BLOCK).alias("parts"))
+    members = rest.join(owned, ["band", "key", "root"]).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
+    members = work.save(members.select("band", "key", "u", "root", "owner", "part"), "unsettled")
+
+    blocks = members.select("band", "key", "owner", "part").distinct()
+    a, b = (blocks.select("band", "key", F.struct("owner", "part").alias(side)) for side in ("a", "b"))
+    pairs = a.join(b, ["band", "key"]).where("a < b AND a.owner <> b.owner OR a.owner = -1 AND b.owner = -1 AND a.part <= b.part")
+    pairs = work.save(pairs.withColumn("task", F.monotonically_increasing_id()), "block_pairs")
+    sides = pairs.select("band", "key", "task", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
+    sides = sides.select("band", "key", "task", "side", F.col("block.owner").alias("owner"), F.col("block.part").alias("part"))
+    tasks = members.join(sides, ["band", "key", "owner", "part"]).join(signatures, "u")
+    return tasks.select("task", "band", "side", F.col("u").alias(UID), "root", "bands", "sig")
+
+
+def _settled(met: DataFrame, roots: DataFrame, signatures: DataFrame, docs: DataFrame, idf, threshold: float, work: Workspace) -> DataFrame:
+    """Verified links between groups that the links to leaders left apart; only texts with a candidate are moved."""
+    asked = work.save(_unsettled(met, roots, signatures, work).groupBy("task").applyInArrow(_in_question, _TASK), "in_question")
+    nodes = work.save(asked.select(UID).distinct(), "in_question_nodes")
+    texts = _texts(docs, nodes, work, "in_question_texts")
+    return work.save(asked.join(texts, UID).groupBy("task").applyInArrow(_settle(idf, threshold), "a long, b long"), "settled")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """One row per document: UID, id, class_id (the id that stays), class_size, kept.  `docs` must have UID."""
     spark = docs.sparkSession
@@ -301,7 +402,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     rest = work.save(rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b"), "rest")
     if rest.take(1):
         sure = sure.unionByName(_verified(rest, docs, idf, threshold, work, "second"))
-        roots = components(sure, work, "cc_all")
+        roots = components(sure, work, "cc_leaders")
+    more = _settled(met, roots, signatures, docs, idf, threshold, work)
+    if more.take(1):
+        roots = components(sure.unionByName(more), work, "cc_all")
 
     rooted = work.save(copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "rooted")
     members = work.save(signed.select(UID, OWN + "id", "digest").join(rooted, "digest").select(UID, OWN + "id", "root"), "members")

@@ -107,6 +107,30 @@ def test_near_awkward(spark, awkward, empty):
     assert near_dedup.classes(with_uid(empty)).count() == 0
 
 
+def test_near_pairs_inside_a_family_of_shared_boilerplate(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 32, raising=False)
+    g = random.Random(5)
+    words = lambda n: [f"w{g.randrange(10**9)}" for _ in range(n)]
+    shared, texts, pairs = words(300), [], []
+    for i in range(200):
+        own = words(42)
+        texts.append(shared + own)
+        if i % 5 == 0:
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(shared + own[:6] + words(36))
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df, n = near_dedup.document_frequencies(spark.read.parquet(str(tmp_path / "t")), Workspace(spark, "df"))
+    encoded, idf = [" ".join(t).encode() for t in texts], near_dedup.weights(df, n)
+    near = [max(s) for s in near_dedup.similarities(pairs, encoded, idf)]
+    strangers = [max(s) for s in near_dedup.similarities([(a, b) for a, _ in pairs for b, _ in pairs if a < b], encoded, idf)]
+    assert min(near) >= near_dedup.THRESHOLD and 0.75 < min(strangers) and max(strangers) < near_dedup.THRESHOLD
+    got = {r[OWN + "id"]: r.class_id for r in near_dedup.classes(with_uid(spark.read.parquet(str(tmp_path / "t")))).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    # Samples are weighted, so a pair meets in a band with probability 0.98.
+    assert found >= 0.9 * len(pairs)
+    assert len(set(got.values())) == len(texts) - found
+
+
 def test_samples_estimate_weighted_jaccard():
     words = [f"w{i}" for i in range(400)]
     a = words
