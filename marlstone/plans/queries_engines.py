@@ -35,12 +35,12 @@ def text_rank_top(spark, sf):
 
 @query()
 def text_index_search(spark, sf):
-    return inverted.TextIndex(Tables(spark, sf).benchmark, "item_id", "text", "simple").search("'the' & 'of'").select("item_id")
+    return inverted.TextIndex(Tables(spark, sf).documents, "doc_id", "text", "simple").search("'the' & 'of'").select("doc_id")
 
 
 @query()
 def text_headline(spark, sf):
-    return Tables(spark, sf).benchmark.select("item_id", ts.ts_headline(F.col("text"), "'the'", "MaxWords=12, MinWords=5", "simple").alias("h"))
+    return Tables(spark, sf).documents.select("doc_id", ts.ts_headline(F.col("text"), "'the'", "MaxWords=12, MinWords=5", "simple").alias("h"))
 
 
 # --- vectors ------------------------------------------------------------------------------
@@ -141,13 +141,27 @@ def foreign_key_check(spark, sf):
     return constraints.foreign_key(t.orders, ["o_custkey"], t.customer.where("c_custkey % 10 <> 0"), ["c_custkey"]).select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def foreign_key_by_balance(spark, sf):
+    t = Tables(spark, sf)
+    return constraints.foreign_key(t.orders, ["o_custkey"], t.customer.where("c_acctbal >= 0"), ["c_custkey"]).select("o_orderkey")
+
+
 # --- copies and statistics ------------------------------------------------------------------------------
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 100")
 def copy_round_trip(spark, sf):
-    """COPY TO and COPY FROM CSV; the files lie in the shared folder where the session names one."""
-    rows = Tables(spark, sf).customer.where("c_custkey < 100").select("c_custkey", "c_name", "c_acctbal")
+    """COPY TO and COPY FROM CSV of the whole table; the files lie in the shared folder where the session names one."""
+    rows = Tables(spark, sf).customer.select("c_custkey", "c_name", "c_acctbal")
+    path = recursion._folder(spark) + "/copy"
+    cp.copy_to(rows, path, header=True)
+    return cp.copy_from(spark, path, rows.schema, header=True).where("c_custkey < 100")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def copy_round_trip_whole(spark, sf):
+    rows = Tables(spark, sf).customer.select("c_custkey", "c_name", "c_acctbal")
     path = recursion._folder(spark) + "/copy"
     cp.copy_to(rows, path, header=True)
     return cp.copy_from(spark, path, rows.schema, header=True)

@@ -455,6 +455,12 @@ def recursive_union_distinct(spark, sf):
     return recursion.recursive_union(e.where("a = 1").select("b"), lambda r: r.withColumnRenamed("b", "at").join(e, F.col("a") == F.col("at")).select("b"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), r(b) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.b) SELECT b FROM r""")
+def recursive_union_whole(spark, sf):
+    e = Tables(spark, sf).lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return recursion.recursive_union(e.where("a = 1").select("b"), lambda r: r.withColumnRenamed("b", "at").join(e, F.col("a") == F.col("at")).select("b"))
+
+
 @query("SELECT n_name, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B')")
 def view_and_in(spark, sf):
     t = Tables(spark, sf)

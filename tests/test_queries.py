@@ -46,3 +46,20 @@ def test_query(spark, duck, name):
         want = duck.execute(registry.SQL[name])
         assert sorted(df.columns) == sorted(d[0] for d in want.description)
         assert rows(df.columns, got) == rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_text_queries_cover_documents(spark, duck):
+    word = lambda w: f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}]){w}([^\\p{{L}}\\p{{N}}]|$)')"
+    want = duck.execute(f"SELECT doc_id FROM documents WHERE {word('the')} AND {word('of')}").fetchall()
+    assert sorted(tuple(r) for r in registry.QUERIES["text_index_search"](spark, SF).collect()) == sorted(want)
+    ids = duck.execute("SELECT doc_id FROM documents").fetchall()
+    assert sorted((r.doc_id,) for r in registry.QUERIES["text_headline"](spark, SF).collect()) == sorted(ids)
+
+
+def test_copy_round_trip_copies_the_whole_table(spark, duck, monkeypatch):
+    from marlstone.plans import queries_engines as qe
+
+    copied, copy_to = [], qe.cp.copy_to
+    monkeypatch.setattr(qe.cp, "copy_to", lambda rows, *a, **b: (copied.append(rows.count()), copy_to(rows, *a, **b)))
+    registry.QUERIES["copy_round_trip"](spark, SF)
+    assert copied == [duck.execute("SELECT count(*) FROM customer").fetchone()[0]]
