@@ -321,6 +321,10 @@ def test_scores_against_counts(spark, docs):
     assert known > uniform
 
 
+def test_scores_average_three_samples():
+    assert pitman_yor.BURN_IN == 1 and pitman_yor.SAMPLES == 3
+
+
 def test_scores_awkward(spark, awkward, empty):
     got = pitman_yor.score(awkward).collect()
     assert len(got) == 10 and all(r.score < 0 and math.isfinite(r.score) for r in got)
