@@ -1,56 +1,55 @@
 """A hierarchical Pitman-Yor language model of a whole corpus, and every text's probability under it.
 
-The model is a hierarchy of Chinese restaurants.  At the top stands one restaurant for each context; a
-context is the class of the last short word before a token (short words are function words for the
-most part, and tell language and phrasing).  All of them share one parent, which serves words; its customers are the
-children's tables.  Each of its own tables orders a new spelling from the restaurants below.  Those
-serve bytes, one for each context of up to ORDER preceding bytes; contexts that share their last bytes share
+The model is a hierarchy of Chinese restaurants.  Each word that precedes another is a context with a
+restaurant of its own; the end token stands before a text's first word.  All contexts share one parent, which serves
+words; its customers are the children's tables.  Each of its own tables orders a new spelling from the restaurants below.  Those
+serve bytes, one for each context of up to ORDER preceding bytes; contexts that share their last byte share
 a parent, down to a uniform choice.  So an unseen word has the probability of its spelling, and a
 context that is rarely seen leans on its parent.
 
-Seating is sampled by Gibbs sweeps over the numbers of tables.  For a dish with few customers the number of
-tables is drawn from its exact conditional distribution (generalised Stirling numbers); dishes with more than
-STIRLING customers are seated anew one after another, in growing blocks.  All
-dishes of a sweep see the other dishes' tables as of its start.  Predictive probabilities are averaged over the
-samples that follow the burn-in.
+Seating is sampled by Gibbs sweeps over the numbers of tables.  For a dish with at most STIRLING customers the number of
+tables is drawn from its exact conditional distribution (generalised Stirling numbers); larger dishes are seated anew one
+customer after another, in blocks of a sixteenth of those who sit, which is an approximation.  All
+dishes of a sweep see the other dishes' tables as of its start.  A pair of words that occurs once has one table
+in every seating, so only the others are sampled.  After every sweep the parent's customers, its tables and all totals are
+formed anew from the tables below, so each sample is a distribution: it sums to one over words and spellings.  The averages
+over the samples that follow the burn-in are taken at each level of the hierarchy.
 
-Where things happen: pairs of context and word are counted in blocks of rows, dealt to shards by the word's
-checksum, and counted, seated and scored there; a shard sends each block its words' counts and its pairs'
-probabilities in the order in which the block sent them.  Only the spelling model is
-gathered: its cells are byte n-grams, at most CELLS of them (contexts are shortened while there are
-more; with two bytes there are at most 2^24).
+Where things happen: texts are cut into blocks of about BLOCK_BYTES and written as word numbers.  A block sends its words to
+shards by a 48-bit checksum, and its distinct pairs of words to other shards by a checksum of both, so that neither a common word nor a
+common context is dealt whole to one task.  Word shards hold the parent, pair shards the contexts.  Each round pair shards send word shards
+the tables of their words, and get back probabilities and totals.  In the end both send each block its numbers, in the order of the block's own.
+Only the spelling model is gathered: its cells are n-grams of ORDER + 1 bytes, at most 2^24 of them at every size.
 
 Defined results: null text counts as empty and has the end token only; a row with a null id is
-training text; without training tokens all known counts are 0 and the model is the uniform spelling; extra columns
+training text; repeated rows are scored each, and count each; without training tokens all known counts are 0 and the model is the uniform spelling; extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, fold, lowered, with_uid
+from .common import OWN, UID, Workspace, batches, fold, lowered, release, with_uid
+from .shingles import mixed
 
-BLOCK_BITS = 10
-#: Rows for which one shard of words is made, and the most shards.
-SHARD_ROWS, MOST_SHARDS = 2048, 1024
-STIRLING = 64
-BURN_IN, SAMPLES = 1, 3
+#: Bytes of text in a block, tokens for which one shard of pairs is made, and distinct words of blocks for which one shard of words is made.
+BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 1 << 24, 1 << 21, 1 << 19
+STIRLING = 256
+BURN_IN, SAMPLES = 2, 3
 #: Sweeps over the spelling model between two samples of the words.
 SPELLING_SWEEPS = 3
-CELLS = 1 << 22
-#: Steps of log10 probabilities as shards send them to blocks: they are rounded to 1 / STEPS.
-STEPS = 2000
-ORDER = 4
-#: Classes of contexts, and the most bytes of a word that makes a context.
-CONTEXTS, SHORT = 1024, 4
+#: Bytes of context in the spelling model.
+ORDER = 2
 #: The token that ends a text; no word can be a line feed.
 STOP = b"\n"
 LEAST_LOG = -600.0
@@ -80,10 +79,11 @@ def seat(c: np.ndarray, t: np.ndarray, tables: np.ndarray, base: np.ndarray, d:
     out = np.minimum(c, 1)
     others = np.maximum(tables - t, 0)
     base = np.maximum(base, 1e-300)
-    for low, high in ((2, 4), (5, 16), (17, STIRLING)):
+    for low, high in ((2, 4), (5, 16), (17, 64), (65, STIRLING)):
         at = np.flatnonzero((c >= low) & (c <= high))
-        for i in range(0, len(at), 1 << 16):
-            k = at[i : i + (1 << 16)]
+        size = (1 << 19) // high
+        for i in range(0, len(at), size):
+            k = at[i : i + size]
             steps = np.arange(high)
             grown = np.cumsum(np.log(THETA + d * (others[k][:, None] + steps)), axis=1)
             log_p = grown + (steps + 1) * np.log(base[k])[:, None] + log_s[c[k], 1 : high + 1]
@@ -234,328 +234,547 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
     return known, np.bincount(back, np.repeat(weight, sizes), len(known)).astype(np.int64)
 
 
-# --- words in blocks and shards --------------------------------------------------
+# --- blocks ------------------------------------------------------------------------
 
 
-def _pack(x: np.ndarray, kind=np.int64, rising: bool = False) -> bytes:
-    """Deflated; rising: as differences."""
-    x = x.astype(kind)
-    return zlib.compress((np.diff(x, prepend=x.dtype.type(0)) if rising else x).tobytes(), 1)
+def _pack(x: np.ndarray, kind=np.int32) -> bytes:
+    """Its first bytes, then its second ones, and so on, compressed."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
 
 
-def _open(data: bytes, kind=np.int64, rising: bool = False) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(data), kind)
-    return np.cumsum(x, dtype=x.dtype) if rising else x
+def _open(data: bytes, kind=np.int32) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return zlib.compress(b" ".join(words), 1)
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
 
 def _open_words(data: bytes) -> list[bytes]:
-    return zlib.decompress(data).split(b" ")
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
+CODE_BITS = 48
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    """What tells words apart when they are parts of pairs."""
+    checksum = xxhash.xxh3_64_intdigest
+    return np.fromiter(map(checksum, words), np.uint64, len(words)) >> np.uint64(64 - CODE_BITS)
+
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CODE_BITS // 8].tobytes()
+
+
+def _open_codes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // CODE_BITS, 8), np.uint8)
+    out[:, : CODE_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, CODE_BITS // 8)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _word_shard(codes: np.ndarray, shards: int) -> np.ndarray:
+    """Rises with the code."""
+    return ((codes >> np.uint64(CODE_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(slot: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of each run of equal values."""
+    edges = np.flatnonzero(np.diff(slot, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(slot[a]), int(a), int(b)
+
+
+def _batch(schema: pa.Schema, *rows: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(list(rows), schema)
 
 
 def _rows(batches_: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time, as each holds a shard."""
+    """Rows one at a time, as each holds a block or a shard."""
     for b in batches_:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]
 
 
+_BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, n_tokens long, n_words long, n_train long"
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_train", pa.int64())])
+
+
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as numbers of a block's words, which are in order of their codes."""
+
+    def fresh() -> tuple[list, list, list, defaultdict]:
+        place: defaultdict = defaultdict()
+        place.default_factory = place.__len__
+        return [], [], [], place
+
+    def sent() -> pa.RecordBatch:
+        words = list(place)
+        by = np.argsort(_codes(words), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[by] = np.arange(len(words))
+        sizes = np.array([len(x) for x in parts])
+        train = int(sizes[~np.array(held)].sum())
+        row = {"block": block, "ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": _pack(rank[np.concatenate(parts)]), "words": _pack_words([words[i] for i in by])}
+        return _batch(_BLOCKS_ARROW, row | {"n_tokens": int(sizes.sum()), "n_words": len(words), "n_train": train})
+
+    block, size = None, 0
+    ids, held, parts, place = fresh()
+    for some in batches(rows, [UID, OWN + "id", OWN + "held", "text"]):
+        for uid, own, out, text in zip(*some, strict=True):
+            block = uid if block is None else block
+            words = lowered(text).split()
+            size += len(text or "") + 1
+            words.append(STOP)
+            parts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+            ids.append(own)
+            held.append(out)
+            if size >= BLOCK_BYTES:
+                yield sent()
+                block, size = None, 0
+                ids, held, parts, place = fresh()
+    if parts:
+        yield sent()
+
+
 class Block:
-    """The tokens of a block's texts, as places in its distinct pairs, which are in order of shard, word and context."""
-
-    def __init__(self, texts: list[str | None], shards: int):
-        every: list[bytes] = []
-        sizes = []
-        for t in texts:
-            row = lowered(t).split()
-            every += row
-            every.append(STOP)
-            sizes.append(len(row) + 1)
-        words = sorted(set(every))
-        place = dict(zip(words, range(len(words)), strict=True))
-        ids = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
-        self.sizes = np.array(sizes, np.int64)
+    """A block's tokens, and its distinct pairs (u before w: places in words) in order of their checksums."""
+
+    def __init__(self, row: dict):
+        self.tokens, self.words = _open(row["tokens"]), _open_words(row["words"])
+        self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        # A context is the class of the last short word before a token of the same text, 0 if there is none.
-        own = np.array([zlib.crc32(w) % (CONTEXTS - 1) + 1 if len(w) <= SHORT else 0 for w in words], np.int64)[ids]
-        own[self.starts + self.sizes - 1] = 0
-        last = np.maximum.accumulate(np.where(own > 0, np.arange(len(own)), -1))
-        last = np.concatenate(([-1], last[:-1]))
-        context = np.where(last >= np.repeat(self.starts, self.sizes), own[last], 0)
-        shard = np.array([zlib.crc32(w) % shards for w in words], np.int64)
-        by = np.argsort(shard, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[by] = np.arange(len(words))
-        self.words, self.shard = [words[i] for i in by], shard[by]
-        self.pairs, self.at = np.unique(rank[ids] * CONTEXTS + context, return_inverse=True)
+        self.codes = _codes(self.words)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = self.tokens[self.sizes[0] - 1]
+        distinct, at = np.unique(before.astype(np.int64) * len(self.words) + self.tokens, return_inverse=True)
+        u, w = np.divmod(distinct, len(self.words))
+        key = mixed(self.codes[u] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.codes[w]))
+        by = np.argsort(key, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.u, self.w, self.key, self.at = u[by], w[by], key[by], rank[at]
+
+    def pair_shard(self, shards: int) -> np.ndarray:
+        return ((self.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def cuts(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(shard, first word, end, first pair, end) of each shard that has words here."""
-        edges = np.flatnonzero(np.diff(self.shard, prepend=-1, append=self.shard[-1] + 1))
-        pair_edges = np.searchsorted(self.pairs, edges * CONTEXTS)
-        for i in range(len(edges) - 1):
-            yield int(self.shard[edges[i]]), int(edges[i]), int(edges[i + 1]), int(pair_edges[i]), int(pair_edges[i + 1])
 
-    def packets(self, block: int, counts: np.ndarray) -> pa.RecordBatch:
-        rows = []
-        for shard, w0, w1, p0, p1 in self.cuts():
-            of = self.pairs[p0:p1] // CONTEXTS - w0
-            rows.append((shard, block, _pack_words(self.words[w0:w1]), _pack(np.bincount(of, minlength=w1 - w0), np.int32), _pack(self.pairs[p0:p1] % CONTEXTS, np.uint16), _pack(counts[p0:p1], np.int32)))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "block", "words", "each", "ks", "counts"])
+_PAIR_PACKETS = "shard int, block long, codes binary, at binary, counts binary"
+_PAIR_PACKETS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("at", pa.binary()), ("counts", pa.binary())])
 
 
-def _count_pairs(shards: int):
-    """Each block's distinct pairs, dealt to shards, with counts over the block's training rows."""
+def _send_pairs(shards: int):
+    """Each block's distinct pairs with their counts over training rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts, train = None, [], []
-
-        def sent() -> pa.RecordBatch:
-            found = Block(texts, shards)
-            weight = np.repeat(np.array(train, np.float64), found.sizes)
-            return found.packets(block, np.bincount(found.at, weight, len(found.pairs)))
-
-        for blocks, flags, some in batches(rows, [OWN + "block", OWN + "train", "text"]):
-            for b, t, text in zip(blocks, flags, some, strict=True):
-                if b != block:
-                    if texts:
-                        yield sent()
-                    block, texts, train = b, [], []
-                texts.append(text)
-                train.append(t)
-        if texts:
-            yield sent()
+        for r in _rows(rows):
+            b = Block(r)
+            counts = np.bincount(b.at, np.repeat(~np.array(r["held"]), b.sizes), len(b.key))
+            for shard, first, end in _cuts(b.pair_shard(shards)):
+                names, at = np.unique(np.concatenate((b.u[first:end], b.w[first:end])), return_inverse=True)
+                yield _batch(_PAIR_PACKETS_ARROW, {"shard": shard, "block": r["block"], "codes": _pack_codes(b.codes[names]), "at": _pack(at), "counts": _pack(counts[first:end])})
 
     return run
 
 
-_SENT = "shard int, block long, words binary, each binary, ks binary, counts binary"
-_LEXICON = "shard int, block long, words binary, pairs binary, c binary, t binary, tables binary, weight binary, extra binary"
-_LEXICON_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((k, pa.binary()) for k in ("words", "pairs", "c", "t", "tables", "weight", "extra"))])
+#: What word shards get.  kind NEW: a block's words with counts; SINGLE, ASKED: codes with tables as contexts and as words.
+_WORD_PACKETS = "shard int, kind int, sender long, data binary, a binary, b binary"
+_WORD_PACKETS_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("sender", pa.int64()), ("data", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+NEW, SINGLE, ASKED = 0, 1, 2
 
 
-class Lexicon:
-    """A shard's words and pairs.  pairs: word << 10 | context class, sorted; c, t: customers and tables of pairs; tables: of words."""
+def _send_words(shards: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(rows):
+            tokens, words = _open(r["tokens"]), _open_words(r["words"])
+            counts = np.bincount(tokens, np.repeat(~np.array(r["held"]), r["sizes"]), len(words))
+            for shard, first, end in _cuts(_word_shard(_codes(words), shards)):
+                yield _batch(_WORD_PACKETS_ARROW, {"shard": shard, "kind": NEW, "sender": r["block"], "data": _pack_words(words[first:end]), "a": _pack(counts[first:end])})
 
-    def __init__(self, row: dict):
-        self.shard, self.raw = row["shard"], row["words"]
-        self.pairs = _open(row["pairs"], rising=True)
-        self.c, self.t, self.tables = (_open(row[k]) for k in ("c", "t", "tables"))
-        self.weight, self.extra = _open(row["weight"], np.float64), _open(row["extra"], np.float32)
-        self.of, self.k = self.pairs // CONTEXTS, self.pairs % CONTEXTS
+    return run
 
-    @property
-    def words(self) -> list[bytes]:
-        return _open_words(self.raw)
 
-    def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, x, len(self.tables)).astype(np.int64)
+# --- pairs -------------------------------------------------------------------------
 
-    def row(self) -> dict:
-        return {"shard": self.shard, "block": None, "words": self.raw, "pairs": _pack(self.pairs, rising=True), **{k: _pack(getattr(self, k)) for k in ("c", "t", "tables")}, "weight": _pack(self.weight, np.float64), "extra": _pack(self.extra, np.float32)}
+#: A shard of pairs.  Of all its pairs: c, and at: those of each block (its numbers end at ends).  Of the pairs that occur more than once: u and w
+#: (places in names), many (customers), t (tables), total (tables added up over samples).  single, su, sw: codes and tables of the pairs that occur once.
+_PAIRS = "shard int, blocks array<long>, ends array<long>, at binary, c binary, names binary, u binary, w binary, many binary, t binary, total binary, single binary, su binary, sw binary, ones long, twos long"
+_PAIRS_ARROW = pa.schema([("shard", pa.int32()), ("blocks", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("at", "c", "names", "u", "w", "many", "t", "total", "single", "su", "sw")), ("ones", pa.int64()), ("twos", pa.int64())])
+_SEATED = "shard int, names binary, u binary, w binary, many binary, t binary, total binary"
+_SEATED_COLUMNS = [c.split()[0] for c in _SEATED.split(", ")]
+_SEATED_ARROW = pa.schema([_PAIRS_ARROW.field(c) for c in _SEATED_COLUMNS])
 
 
 def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    """The shard's lexicon, and for each block a row with the places of its packet's pairs in it."""
-    packets = rows.select(["block", "words", "each", "ks", "counts"]).to_pylist()
-    every: set[bytes] = set()
-    for r in packets:
-        every.update(_open_words(r["words"]))
-    words = sorted(every)
+    packets = rows.select(["block", "codes", "at", "counts"]).to_pylist()
+    each = [_open_codes(r["codes"]) for r in packets]
+    names, place = np.unique(np.concatenate(each), return_inverse=True)
+    pairs, end = [], 0
+    for r, own in zip(packets, each, strict=True):
+        at = place[end : end + len(own)][_open(r["at"])]
+        end += len(own)
+        pairs.append(at[: len(at) // 2] * len(names) + at[len(at) // 2 :])
+    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    c = np.bincount(at, np.concatenate([_open(r["counts"]) for r in packets]), len(distinct)).astype(np.int64)
+    u, w = np.divmod(distinct, len(names))
+    many, once = c > 1, c == 1
+    used, back = np.unique(np.concatenate((u[many], w[many])), return_inverse=True)
+    su, sw = np.bincount(u[once], minlength=len(names)), np.bincount(w[once], minlength=len(names))
+    some = np.flatnonzero(su + sw)
+    n = int(many.sum())
+    row = {"shard": key[0].as_py(), "blocks": [r["block"] for r in packets], "ends": np.cumsum([len(p) for p in pairs]).tolist(), "at": _pack(at), "c": _pack(c, np.int64)}
+    row |= {"names": _pack_codes(names[used]), "u": _pack(back[:n]), "w": _pack(back[n:]), "many": _pack(c[many], np.int64), "t": _pack(np.ones(n), np.int64), "total": _pack(np.zeros(n), np.int64)}
+    row |= {"single": _pack_codes(names[some]), "su": _pack(su[some]), "sw": _pack(sw[some]), "ones": int(once.sum()), "twos": int((c == 2).sum())}
+    return pa.Table.from_pylist([row], _PAIRS_ARROW)
+
+
+def _tables_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a shard's names, and the tables of the sampled pairs by context and by word."""
+    codes, t = _open_codes(r["names"]), _open(r["t"], np.int64)
+    return codes, np.bincount(_open(r["u"]), t, len(codes)), np.bincount(_open(r["w"]), t, len(codes))
+
+
+def _send_tables(shards: int, first: bool):
+    """A pair shard's tables to the word shards; at first with its codes and the pairs that occur once."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(rows):
+            sets = [(ASKED, *_tables_of(r))]
+            if first:
+                sets.append((SINGLE, _open_codes(r["single"]), _open(r["su"]), _open(r["sw"])))
+            for kind, codes, u, w in sets:
+                for shard, i, j in _cuts(_word_shard(codes, shards)):
+                    yield _batch(_WORD_PACKETS_ARROW, {"shard": shard, "kind": kind, "sender": r["shard"], "data": _pack_codes(codes[i:j]) if first else None, "a": _pack(u[i:j], np.int64), "b": _pack(w[i:j], np.int64)})
+
+    return run
+
+
+def _seat_pairs(state: State, seed: int, record: bool):
+    """A Gibbs sweep over a shard's pairs; answers: totals of contexts and the parent's probabilities, by word shard."""
+
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        r = rows.to_pylist()[0]
+        got = sorted(answers.to_pylist(), key=lambda x: x["sender"])
+        u, w, c, t, total = _open(r["u"]), _open(r["w"]), *(_open(r[k], np.int64) for k in ("many", "t", "total"))
+        if len(c):
+            tables = np.concatenate([_open(x["a"], np.int64) for x in got])
+            base = np.concatenate([_open(x["b"], np.float32) for x in got]).astype(float)
+            t = seat(c, t, tables[u], base[w], state.d, stirling(state.d), np.random.default_rng([seed, 0, r["shard"]]))
+        r |= {"t": _pack(t, np.int64), "total": _pack(total + t, np.int64) if record else r["total"]}
+        return pa.Table.from_pylist([r], _SEATED_ARROW)
+
+    return run
+
+
+# --- words ---------------------------------------------------------------------------
+
+#: A shard of words, in order of their codes.  c: training tokens, also those that follow the word.  at: the places of each block's words.  asked: the places of each
+#: pair shard's names.  c1, u1: tables of pairs that occur once, by word and by context.  customers, seated: of the parent; inside: tables of the word as a context.
+#: spelling, extra: probability, and the rest of its natural logarithm below LEAST_LOG.  p, share: sums over samples of the parent's probability and of the weight of the parent.
+_WORDS = "shard int, blocks array<long>, ends array<long>, at binary, senders array<long>, asked_ends array<long>, asked binary, words binary, c binary, c1 binary, u1 binary, customers binary, seated binary, inside binary, spelling binary, extra binary, p binary, share binary, n long, v long, sum_customers long, sum_seated long, ones long, twos long"
+_LISTS, _LONGS = ("blocks", "ends", "senders", "asked_ends"), ("n", "v", "sum_customers", "sum_seated", "ones", "twos")
+_WORDS_ARROW = pa.schema([(c, pa.int32() if c == "shard" else pa.list_(pa.int64()) if c in _LISTS else pa.int64() if c in _LONGS else pa.binary()) for c in (x.split()[0] for x in _WORDS.split(", "))])
+_COUNTS, _REALS = ("c", "c1", "u1", "customers", "seated", "inside"), ("spelling", "extra", "p", "share")
+
+
+class Words:
+    """A row of _WORDS with open arrays."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.words = _open_words(row["words"])
+        for k in _COUNTS:
+            setattr(self, k, _open(row[k], np.int64))
+        for k in _REALS:
+            setattr(self, k, _open(row[k], np.float64))
+
+    def closed(self) -> dict:
+        own = {"sum_customers": int(self.customers.sum()), "sum_seated": int(self.seated.sum())}
+        return self.row | {k: _pack(getattr(self, k), np.int64) for k in _COUNTS} | {k: _pack(getattr(self, k), np.float64) for k in _REALS} | own
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray]]:
+        at, ends = _open(self.row["asked"]), self.row["asked_ends"]
+        for sender, a, b in zip(self.row["senders"], [0, *ends], ends, strict=False):
+            yield sender, at[a:b]
+
+    def served(self, state: State) -> np.ndarray:
+        """The parent's probabilities, but for `extra`."""
+        return (self.customers - state.d0 * self.seated + (THETA + state.d0 * state.seated) * self.spelling) / (THETA + state.customers)
+
+    def shares(self, state: State) -> np.ndarray:
+        """The weights of the parent in the words' restaurants."""
+        return (THETA + state.d * self.inside) / (THETA + self.c)
+
+
+def _merge_words(key: tuple, rows: pa.Table) -> pa.Table:
+    packets = rows.to_pylist()
+    new, single, asked = ([r for r in packets if r["kind"] == k] for k in (NEW, SINGLE, ASKED))
+    lists = [_open_words(r["data"]) for r in new]
+    every = list(set().union(*lists))
+    every.sort()
+    codes = _codes(every)
+    by = np.argsort(codes, kind="stable")
+    words, codes = [every[i] for i in by], codes[by]
     place = dict(zip(words, range(len(words)), strict=True))
-    keys = []
-    for r in packets:
-        at = np.fromiter(map(place.__getitem__, _open_words(r["words"])), np.int64)
-        keys.append(np.repeat(at, _open(r["each"], np.int32)) * CONTEXTS + _open(r["ks"], np.uint16))
-    pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.bincount(back, np.concatenate([_open(r["counts"], np.int32) for r in packets]), len(pairs)).astype(np.int64)
-    t = np.minimum(c, 1)
-    tables = np.minimum(np.bincount(pairs // CONTEXTS, t, len(words)), 1).astype(np.int64)
-    shard = key[0].as_py()
-    first = {"shard": shard, "block": None, "words": _pack_words(words), "pairs": _pack(pairs, rising=True), "c": _pack(c), "t": _pack(t), "tables": _pack(tables), "weight": _pack(np.zeros(len(pairs)), np.float64), "extra": _pack(np.zeros(len(words)), np.float32)}
-    ends = np.cumsum([len(k) for k in keys])
-    routes = [{"shard": shard, "block": r["block"], "pairs": _pack(back[e - len(k) : e], np.int32, rising=True)} for r, k, e in zip(packets, keys, ends, strict=True)]
-    return pa.Table.from_pylist([first, *routes], _LEXICON_ARROW)
-
-
-_STATE = "n long, v long, ones long, twos long, ones0 long, twos0 long, customers binary, seated binary, tables0 long"
-
-
-def _describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's share of the totals that all restaurants need: one short row each."""
-    for r in _rows(rows):
-        x = Lexicon(r)
-        own = x.per_word(x.t)
-        row = {"n": int(x.c.sum()), "v": int((x.per_word(x.c) > 0).sum()), "ones": int((x.c == 1).sum()), "twos": int((x.c == 2).sum()), "ones0": int((own == 1).sum()), "twos0": int((own == 2).sum())}
-        row |= {"customers": np.bincount(x.k, x.c, CONTEXTS).astype(np.int64).tobytes(), "seated": np.bincount(x.k, x.t, CONTEXTS).astype(np.int64).tobytes(), "tables0": int(x.tables.sum())}
-        kinds = pa.schema([(k, pa.binary() if k in ("customers", "seated") else pa.int64()) for k in row])
-        yield pa.RecordBatch.from_pylist([row], kinds)
+    at = [np.fromiter(map(place.__getitem__, x), np.int32, len(x)) for x in lists]
+    total = lambda places, values: np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0), *values]), len(words))
+    find = lambda some: [np.searchsorted(codes, _open_codes(r["data"])) for r in some]
+    mine = Words.__new__(Words)
+    mine.words = words
+    mine.c = total(at, [_open(r["a"]) for r in new]).astype(np.int64)
+    once, more = find(single), find(asked)
+    longs = lambda some, k: [_open(r[k], np.int64) for r in some]
+    mine.u1, mine.c1 = total(once, longs(single, "a")).astype(np.int64), total(once, longs(single, "b")).astype(np.int64)
+    mine.inside = mine.u1 + total(more, longs(asked, "a")).astype(np.int64)
+    mine.customers = mine.c1 + total(more, longs(asked, "b")).astype(np.int64)
+    mine.seated = np.minimum(mine.customers, 1)
+    for k in _REALS:
+        setattr(mine, k, np.zeros(len(words)))
+    mine.row = {"shard": key[0].as_py(), "words": _pack_words(words), "blocks": [r["sender"] for r in new], "ends": np.cumsum([len(x) for x in at]).tolist(), "at": _pack(np.concatenate([np.zeros(0), *at]))}
+    mine.row |= {"senders": [r["sender"] for r in asked], "asked_ends": np.cumsum([len(x) for x in more]).tolist(), "asked": _pack(np.concatenate([np.zeros(0), *more]))}
+    mine.row |= {"n": int(mine.c.sum()), "v": int((mine.c > 0).sum()), "ones": int((mine.customers == 1).sum()), "twos": int((mine.customers == 2).sum())}
+    return pa.Table.from_pylist([mine.closed()], _WORDS_ARROW)
 
 
 @dataclass
 class State:
-    """Totals over all shards; customers and seated (tables) by context class."""
+    """n, v: training tokens, all and distinct; d, d0: discounts of contexts and of their parent, which has customers at seated tables."""
 
     n: int
     v: int
     d: float
     d0: float
-    customers: np.ndarray
-    seated: np.ndarray
-    tables0: int
+    customers: int
+    seated: int
+
+
+def _state(words: DataFrame, d: float, d0: float | None = None) -> State:
+    r = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _LONGS]).first()
+    return State(r.n, r.v, d, discount(r.ones, r.twos) if d0 is None else d0, r.sum_customers, r.sum_seated)
+
+
+def _seat_row(r: dict, packets: list[dict], model: Spelling, state: State, seed: int, record: bool) -> dict:
+    """The parent's tables after the pair shards' sweep; with `record`, adds the previous state to the averages."""
+    x = Words(r)
+    if record:
+        x.p += x.served(state)
+        x.share += x.shares(state)
+    if packets:
+        x.customers, x.inside = x.c1.copy(), x.u1.copy()
+        sent = {p["sender"]: p for p in packets}
+        for sender, at in x.asked():
+            np.add.at(x.inside, at, _open(sent[sender]["a"], np.int64))
+            np.add.at(x.customers, at, _open(sent[sender]["b"], np.int64))
+    log_p = log_spelling(x.words, model)
+    x.extra = np.minimum(log_p - LEAST_LOG, 0)
+    x.spelling = (1 - END) * np.exp(np.maximum(log_p, LEAST_LOG))
+    x.spelling[[i for i, w in enumerate(x.words) if w == STOP]] = END
+    x.seated = np.where(x.customers > 0, seat(x.customers, np.minimum(np.maximum(x.seated, 1), x.customers), np.full(len(x.words), state.seated), x.spelling, state.d0, stirling(state.d0), np.random.default_rng([seed, 1, r["shard"]])), 0)
+    return x.closed()
+
+
+def _seat_words(model, state: State, seed: int, record: bool):
+    def run(key: tuple, rows: pa.Table, packets: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([_seat_row(rows.to_pylist()[0], packets.to_pylist(), model.value, state, seed, record)], _WORDS_ARROW)
+
+    return run
+
+
+def _seat_first(model, state: State, seed: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(rows):
+            yield _batch(_WORDS_ARROW, _seat_row(r, [], model.value, state, seed, False))
+
+    return run
+
 
+_ANSWERS = "shard int, sender int, a binary, b binary"
+_ANSWERS_ARROW = pa.schema([("shard", pa.int32()), ("sender", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
-def _state(lexicon: DataFrame) -> State:
-    rows = lexicon.mapInArrow(_describe, _STATE).collect()
-    total = {k: sum(r[k] for r in rows) for k in ("n", "v", "ones", "twos", "ones0", "twos0", "tables0")}
-    customers, seated = (sum((np.frombuffer(r[k], np.int64) for r in rows), np.zeros(CONTEXTS, np.int64)) for k in ("customers", "seated"))
-    return State(total["n"], total["v"], discount(total["ones"], total["twos"]), discount(total["ones0"], total["twos0"]), customers, seated, total["tables0"])
 
+def _answer_pairs(state: State):
+    """To each pair shard, the tables in its contexts and the parent's probabilities of its words."""
 
-_CELLS = "part int, tag long, cells binary, n binary, size long"
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(rows):
+            x = Words(r)
+            p = x.served(state)
+            for sender, at in x.asked():
+                yield _batch(_ANSWERS_ARROW, {"shard": sender, "sender": r["shard"], "a": _pack(x.inside[at], np.int64), "b": _pack(p[at], np.float32)})
+
+    return run
+
+
+# --- spelling cells of all shards ------------------------------------------------------
+
+_CELLS = "part int, tag long, cells binary, n binary"
+_CELLS_ARROW = pa.schema([("part", pa.int32()), ("tag", pa.int64()), ("cells", pa.binary()), ("n", pa.binary())])
 PARTS = 16
 
 
 def _cells_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spellings that the shards' tables order, cut by the last byte so that parts are merged apart."""
+    """Spellings that the parent's tables order, cut by the last byte so that parts are merged apart."""
     for r in _rows(rows):
-        words, t = _open_words(r["words"]), _open(r["tables"])
+        words, t = _open_words(r["words"]), _open(r["seated"], np.int64)
         some = [i for i in np.flatnonzero(t > 0) if words[i] != STOP]
         cells, n = spelling_cells([words[i] for i in some], t[some])
-        cut = [cells % PARTS == k for k in range(PARTS)]
-        columns = [pa.array(range(PARTS), pa.int32()), pa.array([r["shard"]] * PARTS, pa.int64()), pa.array([_pack(cells[k], rising=True) for k in cut], pa.binary()), pa.array([_pack(n[k]) for k in cut], pa.binary()), pa.array([int(k.sum()) for k in cut], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "tag", "cells", "n", "size"])
-
-
-def _cells_row(part: int, tag: int, cells: np.ndarray, n: np.ndarray) -> pa.Table:
-    kinds = pa.schema([("part", pa.int32()), ("tag", pa.int64()), ("cells", pa.binary()), ("n", pa.binary()), ("size", pa.int64())])
-    return pa.Table.from_pylist([{"part": part, "tag": tag, "cells": _pack(cells, rising=True), "n": _pack(n), "size": len(cells)}], kinds)
+        for k in range(PARTS):
+            own = cells % PARTS == k
+            yield _batch(_CELLS_ARROW, {"part": k, "tag": r["shard"], "cells": _pack(cells[own], np.int64), "n": _pack(n[own], np.int64)})
 
 
 def _merge_cells(key: tuple, rows: pa.Table) -> pa.Table:
     found = rows.to_pylist()
-    cells, back = np.unique(np.concatenate([_open(r["cells"], rising=True) for r in found]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([_open(r["n"]) for r in found]), len(cells)).astype(np.int64)
-    return _cells_row(found[0]["part"], found[0]["tag"], cells, n)
-
-
-def _gathered(lexicon: DataFrame, work: Workspace, name: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """The spelling model's cells and customers, and its context length."""
-    parts = fold(lexicon.select("shard", "words", "tables").mapInArrow(_cells_of, _CELLS), "part", ["tag"], _merge_cells, work, name)
-    order = ORDER
-    while order > 2 and (parts.agg(F.sum("size")).first()[0] or 0) > CELLS:
-        order -= 1
-        mask = (1 << (8 * (order + 1))) - 1
-
-        def shorten(key: tuple, rows: pa.Table, mask: int = mask) -> pa.Table:
-            r = rows.to_pylist()[0]
-            cells, back = np.unique(_open(r["cells"], rising=True) & mask, return_inverse=True)
-            return _cells_row(r["part"], r["tag"], cells, np.bincount(back, _open(r["n"]), len(cells)).astype(np.int64))
-
-        # Parts are cut by the last byte, so shortened cells still lie in one part each.
-        parts = work.save(parts.groupBy("part").applyInArrow(shorten, _CELLS), f"{name}_short{order}")
+    cells, back = np.unique(np.concatenate([_open(r["cells"], np.int64) for r in found]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([_open(r["n"], np.int64) for r in found]), len(cells))
+    return pa.Table.from_pylist([{"part": found[0]["part"], "tag": found[0]["tag"], "cells": _pack(cells, np.int64), "n": _pack(n, np.int64)}], _CELLS_ARROW)
+
+
+def _spelling(words: DataFrame, work: Workspace, name: str, rng: np.random.Generator) -> Spelling:
+    parts = fold(words.select("shard", "words", "seated").mapInArrow(_cells_of, _CELLS), "part", ["tag"], _merge_cells, work, name)
     found = parts.collect()
-    cells = np.concatenate([np.zeros(0, np.int64), *(_open(r["cells"], rising=True) for r in found)])
-    n = np.concatenate([np.zeros(0, np.int64), *(_open(r["n"]) for r in found)])
+    cells, n = (np.concatenate([np.zeros(0, np.int64), *(_open(r[k], np.int64) for r in found)]) for k in ("cells", "n"))
     by = np.argsort(cells)
-    return cells[by], n[by], order
+    model = Spelling(cells[by], n[by], ORDER)
+    for _ in range(SPELLING_SWEEPS):
+        model.sweep(rng)
+    return model.frozen()
 
 
-def _seat_shard(model, state: State, seed: int, count: bool):
-    """A Gibbs sweep over a shard: its pairs, then its words; with `count`, adds the sample's probabilities of all pairs."""
+# --- scores --------------------------------------------------------------------------
 
+_LAST = "block long, kind int, sender int, a binary, b binary, c binary"
+_LAST_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("sender", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+OF_PAIRS, OF_WORDS = 0, 1
+
+
+def own_weights(c: np.ndarray, total: np.ndarray, d: float) -> np.ndarray:
+    """Customers of pairs less the discount of their tables; total: tables of those with more than one customer, over all samples."""
+    out = np.where(c == 1, 1 - d, 0.0)
+    out[c > 1] = c[c > 1] - d * total / SAMPLES
+    return out
+
+
+def _last_of_pairs(d: float):
+    def run(key: tuple, rows: pa.Table, seated: pa.Table) -> pa.Table:
+        r = rows.to_pylist()[0]
+        out = own_weights(_open(r["c"], np.int64), _open(seated.column("total")[0].as_py(), np.int64), d).astype(np.float32)[_open(r["at"])]
+        ends = r["ends"]
+        return pa.Table.from_pylist([{"block": b, "kind": OF_PAIRS, "sender": r["shard"], "a": _pack(out[i:j], np.float32)} for b, i, j in zip(r["blocks"], [0, *ends], ends, strict=False)], _LAST_ARROW)
+
+    return run
+
+
+def averages(x: Words, state: State) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the parent's probabilities and the weights of the parent, over all samples; state: of the last one."""
+    p, share = (x.p + x.served(state)) / SAMPLES, (x.share + x.shares(state)) / SAMPLES
+    return np.log10(p) + np.where(x.customers > 0, 0, x.extra / np.log(10)), share
+
+
+def _last_of_words(state: State):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_s, log_s0 = stirling(state.d), stirling(state.d0)
         for r in _rows(rows):
-            x = Lexicon(r)
-            rng = np.random.default_rng([seed, x.shard])
-            words = x.words
-            log_p = log_spelling(words, model.value)
-            # Spellings too unlikely for a double carry the rest of their logarithm along.
-            x.extra = np.minimum(log_p - LEAST_LOG, 0)
-            spelling = (1 - END) * np.exp(np.maximum(log_p, LEAST_LOG))
-            spelling[[i for i, w in enumerate(words) if w == STOP]] = END
-            served = int(state.seated.sum())
-
-            def word(x=x, spelling=spelling, served=served) -> np.ndarray:
-                return (np.maximum(x.per_word(x.t) - state.d0 * x.tables, 0) + (THETA + state.d0 * state.tables0) * spelling) / (THETA + served)
-
-            x.t = np.where(x.c > 0, seat(x.c, x.t, state.seated[x.k], word()[x.of], state.d, log_s, rng), 0)
-            own = x.per_word(x.t)
-            x.tables = np.where(own > 0, seat(own, x.tables, np.full(len(own), state.tables0), spelling, state.d0, log_s0, rng), 0)
-            if count:
-                x.weight = x.weight + (np.maximum(x.c - state.d * x.t, 0) + (THETA + state.d * state.seated[x.k]) * word()[x.of]) / (THETA + state.customers[x.k])
-            yield from pa.Table.from_pylist([x.row()], _LEXICON_ARROW).to_batches()
+            x = Words(r)
+            at, ends = _open(r["at"]), r["ends"]
+            p, share = averages(x, state)
+            for block, i, j in zip(r["blocks"], [0, *ends], ends, strict=False):
+                k = at[i:j]
+                yield _batch(_LAST_ARROW, {"block": block, "kind": OF_WORDS, "sender": r["shard"], "a": _pack(x.c[k], np.int64), "b": _pack(p[k], np.float32), "c": _pack(share[k], np.float32)})
 
     return run
 
 
-def _answer(key: tuple, routes: pa.Table, lexicon: pa.Table) -> pa.Table:
-    """What a shard sends back to each block: counts of words and log10 probabilities of pairs, in the order of the block's packet."""
-    x = Lexicon(lexicon.to_pylist()[0])
-    c = x.per_word(x.c)
-    p = np.rint(STEPS * (np.log10(x.weight / SAMPLES) + np.where(c > 0, 0, x.extra / np.log(10))[x.of])).astype(np.int32)
-    out: dict[str, list] = {"block": [], "shard": [], "c": [], "p": []}
-    for r in routes.select(["block", "pairs"]).to_pylist():
-        at = _open(r["pairs"], np.int32, rising=True)
-        own = x.of[at]
-        out["block"].append(r["block"])
-        out["shard"].append(x.shard)
-        out["c"].append(_pack(c[own[np.flatnonzero(np.diff(own, prepend=-1))]]))
-        out["p"].append(_pack(p[at], np.int32))
-    return pa.Table.from_pydict(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("c", pa.binary()), ("p", pa.binary())]))
-
-
-def _score(shards: int, n: int, v: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("text").to_pylist()
-        got = {r["shard"]: r for r in answers.to_pylist()}
-        found = Block(texts, shards)
-        c, p = np.empty(len(found.words), np.int64), np.empty(len(found.pairs))
-        for shard, w0, w1, p0, p1 in found.cuts():
-            c[w0:w1] = _open(got[shard]["c"])
-            p[p0:p1] = _open(got[shard]["p"], np.int32) / STEPS
-        of = found.pairs // CONTEXTS
-        known, base = (c > 0)[of], np.log10((c + 1) / (n + v + 1))[of]
-        sums = [np.add.reduceat(x[found.at], found.starts) for x in (known.astype(np.int64), base, p)]
-        columns = [docs.column(OWN + "id"), docs.column(OWN + "held"), pa.array(found.sizes), pa.array(sums[0]), pa.array(np.full(len(texts), n)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def mixture(own: np.ndarray, c: np.ndarray, log_p: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """log10 probabilities of pairs: of their own weight, their context's customers and share of the parent, and their word's log10 probability there."""
+    rest = np.log10(share) + log_p
+    seen = own > 0
+    return np.where(seen, np.log10(np.where(seen, own, 1) / (THETA + c) + 10.0**rest), rest)
+
+
+def _score(n: int, v: int):
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        r = rows.to_pylist()[0]
+        got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["sender"]))
+        b = Block(r)
+        own = np.concatenate([_open(x["a"], np.float32) for x in got if x["kind"] == OF_PAIRS]).astype(float)
+        words = [x for x in got if x["kind"] == OF_WORDS]
+        c = np.concatenate([_open(x["a"], np.int64) for x in words])
+        log_p, share = (np.concatenate([_open(x[k], np.float32) for x in words]).astype(float) for k in ("b", "c"))
+        p = mixture(own, c[b.u], log_p[b.w], share[b.u])
+        known, base = (c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1))
+        sums = [np.add.reduceat(x, b.starts) for x in (known[b.tokens], base[b.tokens], p[b.at])]
+        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), n)), *(pa.array(x) for x in (sums[1], sums[2], -sums[2] / b.sizes))]
+        return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, log10_perplexity double"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, seed: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+@dataclass
+class Model:
+    """Tables of a fitted model, and the state of its last sample."""
 
-    Documents whose crc32(id as text) mod folds is held_fold are held out.  `docs`
-    must be a scan: it is read twice, and rows must fall into the same blocks.
-    """
+    blocks: DataFrame
+    pairs: DataFrame
+    seated: DataFrame
+    words: DataFrame
+    state: State
+
+
+def fit(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, seed: int = 1) -> Model | None:
+    """Counts and seats all texts; None without rows."""
     spark = docs.sparkSession
-    work = Workspace(spark, "hpy")
-    shards = min(MOST_SHARDS, max(4, docs.count() // SHARD_ROWS))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    rows = with_uid(docs).select(F.shiftright(UID, BLOCK_BITS).alias(OWN + "block"), F.col(id_col).cast("long").alias(OWN + "id"), held.alias(OWN + "held"), F.col(text_col).alias("text"))
-
-    sent = rows.select(OWN + "block", (~F.col(OWN + "held")).alias(OWN + "train"), "text").mapInArrow(_count_pairs(shards), _SENT)
-    merged = work.save(sent.groupBy("shard").applyInArrow(_merge_pairs, _LEXICON), "merged")
-    lexicon, routes = merged.where("block IS NULL"), merged.where("block IS NOT NULL")
-    state = _state(lexicon)
+    rows = with_uid(docs).select(UID, F.col(id_col).cast("long").alias(OWN + "id"), held.alias(OWN + "held"), F.col(text_col).alias("text"))
+    blocks = work.save(rows.mapInArrow(_blocks, _BLOCKS), "blocks")
+    size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
+    if not size.tokens:
+        return None
+    pair_shards, word_shards = max(4, -(-size.tokens // SHARD_TOKENS)), max(4, -(-size.words // SHARD_WORDS))
+
+    pairs = work.save(blocks.mapInArrow(_send_pairs(pair_shards), _PAIR_PACKETS).groupBy("shard").applyInArrow(_merge_pairs, _PAIRS), "pairs")
+    release(spark)
+    counts = pairs.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+    sent = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(_send_words(word_shards), _WORD_PACKETS)
+    told = pairs.select(*_SEATED_COLUMNS, "single", "su", "sw").mapInArrow(_send_tables(word_shards, True), _WORD_PACKETS)
+    words = work.save(sent.unionByName(told).groupBy("shard").applyInArrow(_merge_words, _WORDS), "words")
+    release(spark)
+    state = _state(words, discount(counts.ones, counts.twos))
     rng = np.random.default_rng(seed)
+    model = spark.sparkContext.broadcast(_spelling(words, work, "cells_", rng))
+    words = work.save(words.mapInArrow(_seat_first(model, state, seed), _WORDS), "words_first")
+    work.drop("words")
+    seated, previous = pairs.select(*_SEATED_COLUMNS), ("", "words_first")
     for i in range(BURN_IN + SAMPLES):
-        spelling = Spelling(*_gathered(lexicon, work, f"cells{i}_"))
-        for _ in range(SPELLING_SWEEPS):
-            spelling.sweep(rng)
-        model = spark.sparkContext.broadcast(spelling.frozen())
-        lexicon = work.save(lexicon.mapInArrow(_seat_shard(model, state, seed + i, i >= BURN_IN), _LEXICON), f"seated{i}")
-        if i:
-            work.drop(f"seated{i - 1}")
-        state = _state(lexicon)
-    answers = work.save(routes.select("shard", "block", "pairs").groupBy("shard").cogroup(lexicon.groupBy("shard")).applyInArrow(_answer, "block long, shard int, c binary, p binary"), "answers")
-    return rows.groupBy(OWN + "block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, state.n, state.v), _SCORED)
+        state = _state(words, state.d, state.d0)
+        answers = words.mapInArrow(_answer_pairs(state), _ANSWERS)
+        seated = work.save(seated.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_seat_pairs(state, seed + i + 1, i >= BURN_IN), _SEATED), f"seated{i}")
+        model = spark.sparkContext.broadcast(_spelling(words, work, f"cells{i}_", rng))
+        told = seated.mapInArrow(_send_tables(word_shards, False), _WORD_PACKETS)
+        words = work.save(words.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_seat_words(model, state, seed + i + 1, i > BURN_IN), _WORDS), f"words{i}")
+        for name in filter(None, previous):
+            work.drop(name)
+        previous = (f"seated{i}", f"words{i}")
+        release(spark)
+    return Model(blocks, pairs, seated, words, _state(words, state.d, state.d0))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, seed: int = 1) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), log10_perplexity.
+
+    Documents whose crc32(id as text) mod folds is held_fold are held out.
+    """
+    found = fit(docs, Workspace(docs.sparkSession, "hpy"), id_col, text_col, folds, held_fold, seed)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], _SCORED)
+    state = found.state
+    routes = found.pairs.select("shard", "blocks", "ends", "at", "c").groupBy("shard")
+    answers = routes.cogroup(found.seated.select("shard", "total").groupBy("shard")).applyInArrow(_last_of_pairs(state.d), _LAST)
+    answers = answers.unionByName(found.words.mapInArrow(_last_of_words(state), _LAST))
+    blocks = found.blocks.select("block", "ids", "held", "sizes", "tokens", "words")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(state.n, state.v), _SCORED)

@@ -300,15 +300,95 @@ def test_spelling_is_a_distribution():
     cells, n = pitman_yor.spelling_cells(words, np.array([5, 2, 1, 7]))
     m = pitman_yor.Spelling(cells, n, pitman_yor.ORDER)
     m.sweep(np.random.default_rng(1))
-    for context in (b"    ", b"  th", b"zzzz"):
+    for context in (b"  ", b"th", b"zz"):
         own = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
         assert m.probability(own).sum() == pytest.approx(1)
 
 
-def test_scores_against_counts(spark, docs):
-    got = {r.doc_id: r for r in pitman_yor.score(docs).collect()}
+def _partitions(n: int):
+    """All ways to seat n customers at tables, as tuples of table sizes (one for each set partition)."""
+    if n == 0:
+        yield ()
+        return
+    for p in _partitions(n - 1):
+        yield (*p, 1)
+        for i in range(len(p)):
+            yield (*p[:i], p[i] + 1, *p[i + 1 :])
+
+
+@pytest.mark.parametrize(("c", "others", "base", "d"), [(3, 0, 0.2, 0.5), (5, 7, 0.03, 0.8), (6, 2, 0.5, 0.3)])
+def test_seats_against_all_seatings(c, others, base, d):
+    want = Counter()
+    for p in _partitions(c):
+        fresh = math.prod((pitman_yor.THETA + d * (others + k)) * base for k in range(len(p)))
+        want[len(p)] += fresh * math.prod(math.prod(j - d for j in range(1, size)) for size in p)
+    n = 40_000
+    got = pitman_yor.seat(np.full(n, c), np.ones(n, np.int64), np.full(n, others + 1), np.full(n, base), d, pitman_yor.stirling(d), np.random.default_rng(3))
+    for t in range(1, c + 1):
+        assert (got == t).mean() == pytest.approx(want[t] / sum(want.values()), abs=0.01)
+
+
+@pytest.fixture(scope="module")
+def model_texts(docs):
     rows = {r.doc_id: [*lowered(r.text).split(), b"\n"] for r in docs.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in rows}
+    return rows, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in rows}
+
+
+def test_scores_against_plain_tables(spark, docs, model_texts, monkeypatch):
+    """Every restaurant sums to one, and scores equal those looked up word by word, with several blocks."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 50_000)
+    rows, held = model_texts
+    model = pitman_yor.fit(docs, Workspace(spark, "t"))
+    state, words, pairs = model.state, {}, Counter()
+    open_words = [pitman_yor.Words(r.asDict()) for r in model.words.collect()]
+    rest = 1.0
+    for x in open_words:
+        p, share = pitman_yor.averages(x, state)
+        words |= {w: (int(c), lp, sh) for w, c, lp, sh in zip(x.words, x.c, p, share, strict=True)}
+        rest -= x.spelling.sum()
+    served = sum(x.served(state).sum() for x in open_words)
+    assert served + (pitman_yor.THETA + state.d0 * state.seated) * rest / (pitman_yor.THETA + state.customers) == pytest.approx(1, abs=1e-9)
+    for i, ws in rows.items():
+        if not held[i]:
+            pairs.update(zip([b"\n", *ws], ws, strict=False))
+    assert {w: n for w, n in Counter(w for i, ws in rows.items() if not held[i] for w in ws).items()} == {w: c for w, (c, _, _) in words.items() if c}
+    code = dict(zip(pitman_yor._codes(list(words)).tolist(), words, strict=True))
+    own = {k: 1 - state.d for k, n in pairs.items() if n == 1}
+    for r in model.seated.collect():
+        names, total = pitman_yor._open_codes(r.names).tolist(), pitman_yor._open(r.total, np.int64)
+        for u, w, c, t in zip(pitman_yor._open(r.u), pitman_yor._open(r.w), pitman_yor._open(r.many, np.int64), total, strict=True):
+            pair = (code[names[u]], code[names[w]])
+            assert pairs[pair] == c and pitman_yor.SAMPLES <= t <= c * pitman_yor.SAMPLES
+            own[pair] = c - state.d * t / pitman_yor.SAMPLES
+    assert set(own) == set(pairs)
+    sums = Counter()
+    for (u, _), x in own.items():
+        sums[u] += x
+    for u, x in sums.items():
+        c, _, share = words[u]
+        assert x / (pitman_yor.THETA + c) + share == pytest.approx(1, abs=1e-9)
+    for r in pitman_yor.score(docs).collect():
+        ws = rows[r.doc_id]
+        want = sum(math.log10(own.get((u, w), 0) / (pitman_yor.THETA + words[u][0]) + words[u][2] * 10 ** words[w][1]) for u, w in zip([b"\n", *ws], ws, strict=False))
+        assert r.score == pytest.approx(want, rel=1e-5) and r.log10_perplexity == pytest.approx(-r.score / len(ws))
+
+
+def test_tables_settle(spark, docs):
+    """After the burn-in the number of tables no longer drifts."""
+    seen = []
+    keep = pitman_yor._state
+    pitman_yor._state = lambda *a: (seen.append(keep(*a)), seen[-1])[1]
+    try:
+        pitman_yor.fit(docs, Workspace(spark, "t"))
+    finally:
+        pitman_yor._state = keep
+    tables = [s.customers for s in seen][-pitman_yor.SAMPLES - 1 :]
+    assert max(tables) < 1.05 * min(tables)
+
+
+def test_scores_against_counts(docs, model_texts):
+    got = {r.doc_id: r for r in pitman_yor.score(docs).collect()}
+    rows, held = model_texts
     c = Counter(w for i, ws in rows.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     for i, ws in rows.items():
@@ -316,13 +396,20 @@ def test_scores_against_counts(spark, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
         assert r.score < 0
-    known = sum(got[i].score for i in rows if not held[i]) / sum(got[i].n_tokens for i in rows if not held[i])
-    uniform = -math.log10(v)
-    assert known > uniform
+    assert sum(got[i].score for i in rows if not held[i]) > sum(got[i].base_score for i in rows if not held[i])
+
+
+def test_repeated_texts_score_higher(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(VOCABULARY) for _ in range(200)) for _ in range(60)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:10])], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: r for r in pitman_yor.score(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    both = [i for i in range(10) if not got[i].held_out and not got[60 + i].held_out]
+    once = [i for i in range(10, 60) if not got[i].held_out]
+    assert both and min(got[i].score for i in both) > max(got[i].score for i in once)
 
 
-def test_scores_average_three_samples():
-    assert pitman_yor.BURN_IN == 1 and pitman_yor.SAMPLES == 3
+VOCABULARY = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so") for b in ("ta", "ve", "zi", "do", "fu", "gra", "hol")]
 
 
 def test_scores_awkward(spark, awkward, empty):
