@@ -68,6 +68,21 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumn(UID, F.monotonically_increasing_id())
 
 
+#: A key is hot if it has more than this share of all rows, so there are at most as many hot keys.
+HOT_KEYS = 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join with a `right` that has one row a key, where column `count` says how many rows of `left` the key has.
+
+    Hot keys, at most HOT_KEYS of them, are broadcast, so that they are not dealt to one task each; `right` should be a written table.
+    """
+    least = F.lit((right.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(count) > least))
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(count) <= least), on)
+    return left.join(hot, on).unionByName(rest)
+
+
 def keep_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """`docs` (with UID) without the rows whose UID is in `dropped`; a shuffle on the unique row id, so it is never skewed."""
     return docs.join(dropped.select(UID), UID, "left_anti")

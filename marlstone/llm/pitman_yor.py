@@ -28,19 +28,17 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import OWN, UID, Workspace, batches, fold, lowered, release, with_uid
-from .shingles import mixed
+from .shingles import chunks, mixed, word_hashes, word_spans
 
 #: Bytes of text in a block, tokens for which one shard of pairs is made, and distinct words of blocks for which one shard of words is made.
 BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 1 << 24, 1 << 21, 1 << 19
@@ -52,7 +50,7 @@ SPELLING_SWEEPS = 3
 ORDER = 2
 #: The token that ends a text; no word can be a line feed.
 STOP = b"\n"
-LEAST_LOG = -600.0
+LEAST_LOG = -80.0
 #: Base probability that a text ends, and the concentration of all restaurants.
 END = 1e-3
 THETA = 1.0
@@ -79,7 +77,7 @@ def seat(c: np.ndarray, t: np.ndarray, tables: np.ndarray, base: np.ndarray, d:
     out = np.minimum(c, 1)
     others = np.maximum(tables - t, 0)
     base = np.maximum(base, 1e-300)
-    for low, high in ((2, 4), (5, 16), (17, 64), (65, STIRLING)):
+    for low, high in ((2, 2), (3, 3), (4, 4), (5, 8), (9, 16), (17, 64), (65, STIRLING)):
         at = np.flatnonzero((c >= low) & (c <= high))
         size = (1 << 19) // high
         for i in range(0, len(at), size):
@@ -248,6 +246,27 @@ def _open(data: bytes, kind=np.int32) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _pack_rising(x: np.ndarray) -> bytes:
+    """As differences."""
+    return _pack(np.diff(x, prepend=0))
+
+
+def _open_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(_open(data), dtype=np.int64)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them; quick where x consists of rising runs."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    by = np.argsort(x, kind="stable")
+    y = x[by]
+    fresh = np.concatenate(([True], y[1:] != y[:-1]))
+    at = np.empty(len(x), np.int64)
+    at[by] = np.cumsum(fresh) - 1
+    return y[fresh], at
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
@@ -260,9 +279,10 @@ CODE_BITS = 48
 
 
 def _codes(words: list[bytes]) -> np.ndarray:
-    """What tells words apart when they are parts of pairs."""
-    checksum = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(checksum, words), np.uint64, len(words)) >> np.uint64(64 - CODE_BITS)
+    """What tells words apart when they are parts of pairs; the end token, which comes first where it is there, has 0."""
+    first = int(words[:1] == [STOP])
+    parts = [np.zeros(first, np.uint64), *(word_hashes(words[i : i + (1 << 16)])[0] for i in range(first, len(words), 1 << 16))]
+    return np.concatenate(parts) >> np.uint64(64 - CODE_BITS)
 
 
 def _pack_codes(codes: np.ndarray) -> bytes:
@@ -302,68 +322,76 @@ _BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, t
 _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_train", pa.int64())])
 
 
+def _block(ids: list, held: list, uid: int, parts: list) -> pa.RecordBatch:
+    """parts: what word_spans gives for runs of texts."""
+    hashes, spans, sizes = [], [], []
+    for k, (_, h, starts, _, counts) in enumerate(parts):
+        ends = np.cumsum(counts)
+        hashes.append(np.insert(h, ends, 0))
+        spans.append(np.insert(np.arange(len(starts)) + (k << 40), ends, 0))
+        sizes.append(counts + 1)
+    sizes = np.concatenate(sizes)
+    words, first, tokens = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    at = np.concatenate(spans)[first[1:]]
+    text, place = (at >> 40).tolist(), at & ((1 << 40) - 1)
+    cut = [parts[k] for k in text]
+    names = [joined[starts[i] : ends[i]] for (joined, _, starts, ends, _), i in zip(cut, place.tolist(), strict=True)]
+    row = {"block": uid, "ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": _pack(tokens), "words": _pack_words([STOP, *names])}
+    return _batch(_BLOCKS_ARROW, row | {"n_tokens": int(sizes.sum()), "n_words": len(words), "n_train": int(sizes[~np.array(held)].sum())})
+
+
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers of a block's words, which are in order of their codes."""
-
-    def fresh() -> tuple[list, list, list, defaultdict]:
-        place: defaultdict = defaultdict()
-        place.default_factory = place.__len__
-        return [], [], [], place
-
-    def sent() -> pa.RecordBatch:
-        words = list(place)
-        by = np.argsort(_codes(words), kind="stable")
-        rank = np.empty(len(words), np.int32)
-        rank[by] = np.arange(len(words))
-        sizes = np.array([len(x) for x in parts])
-        train = int(sizes[~np.array(held)].sum())
-        row = {"block": block, "ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": _pack(rank[np.concatenate(parts)]), "words": _pack_words([words[i] for i in by])}
-        return _batch(_BLOCKS_ARROW, row | {"n_tokens": int(sizes.sum()), "n_words": len(words), "n_train": train})
-
-    block, size = None, 0
-    ids, held, parts, place = fresh()
-    for some in batches(rows, [UID, OWN + "id", OWN + "held", "text"]):
-        for uid, own, out, text in zip(*some, strict=True):
-            block = uid if block is None else block
-            words = lowered(text).split()
-            size += len(text or "") + 1
-            words.append(STOP)
-            parts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-            ids.append(own)
-            held.append(out)
+    ids, held, parts, uid, size = [], [], [], 0, 0
+    for uids, own, out, texts in batches(rows, [UID, OWN + "id", OWN + "held", "text"]):
+        for first, part in chunks(texts):
+            if not parts:
+                uid = uids[first]
+            ids += own[first : first + len(part)]
+            held += out[first : first + len(part)]
+            parts.append(word_spans(part))
+            size += len(parts[-1][0])
             if size >= BLOCK_BYTES:
-                yield sent()
-                block, size = None, 0
-                ids, held, parts, place = fresh()
+                yield _block(ids, held, uid, parts)
+                ids, held, parts, size = [], [], [], 0
     if parts:
-        yield sent()
+        yield _block(ids, held, uid, parts)
 
 
 class Block:
-    """A block's tokens, and its distinct pairs (u before w: places in words) in order of their checksums."""
+    """A block's tokens, and its distinct pairs (u before w: places in words) in order of their shards, then of u and w."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, shards: int):
         self.tokens, self.words = _open(row["tokens"]), _open_words(row["words"])
         self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.codes = _codes(self.words)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
-        before[self.starts] = self.tokens[self.sizes[0] - 1]
-        distinct, at = np.unique(before.astype(np.int64) * len(self.words) + self.tokens, return_inverse=True)
-        u, w = np.divmod(distinct, len(self.words))
+        before[self.starts] = 0
+        pairs, at = np.unique(before.astype(np.int64) * len(self.words) + self.tokens, return_inverse=True)
+        u, w = np.divmod(pairs, len(self.words))
         key = mixed(self.codes[u] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.codes[w]))
-        by = np.argsort(key, kind="stable")
+        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+        by = np.argsort(shard, kind="stable")
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        self.u, self.w, self.key, self.at = u[by], w[by], key[by], rank[at]
+        self.u, self.w, self.shard, self.at = u[by], w[by], shard[by].astype(np.int64), rank[at]
 
-    def pair_shard(self, shards: int) -> np.ndarray:
-        return ((self.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    def names(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of a run of pairs, and the places of u and w among them."""
+        u, w = self.u[first:end], self.w[first:end]
+        if (end - first) * 32 < len(self.words):
+            names, at = np.unique(np.concatenate((u, w)), return_inverse=True)
+            return names, at[: len(u)], at[len(u) :]
+        used = np.zeros(len(self.words), bool)
+        used[u] = used[w] = True
+        place = np.cumsum(used) - 1
+        return np.flatnonzero(used), place[u], place[w]
 
 
-_PAIR_PACKETS = "shard int, block long, codes binary, at binary, counts binary"
-_PAIR_PACKETS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("at", pa.binary()), ("counts", pa.binary())])
+_PAIR_PACKETS = "shard int, block long, codes binary, u binary, w binary, counts binary"
+_PAIR_PACKETS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("u", pa.binary()), ("w", pa.binary()), ("counts", pa.binary())])
 
 
 def _send_pairs(shards: int):
@@ -371,11 +399,11 @@ def _send_pairs(shards: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            b = Block(r)
-            counts = np.bincount(b.at, np.repeat(~np.array(r["held"]), b.sizes), len(b.key))
-            for shard, first, end in _cuts(b.pair_shard(shards)):
-                names, at = np.unique(np.concatenate((b.u[first:end], b.w[first:end])), return_inverse=True)
-                yield _batch(_PAIR_PACKETS_ARROW, {"shard": shard, "block": r["block"], "codes": _pack_codes(b.codes[names]), "at": _pack(at), "counts": _pack(counts[first:end])})
+            b = Block(r, shards)
+            counts = np.bincount(b.at, np.repeat(~np.array(r["held"]), b.sizes), len(b.u))
+            for shard, first, end in _cuts(b.shard):
+                names, u, w = b.names(first, end)
+                yield _batch(_PAIR_PACKETS_ARROW, {"shard": shard, "block": r["block"], "codes": _pack_codes(b.codes[names]), "u": _pack_rising(u), "w": _pack(w), "counts": _pack(counts[first:end])})
 
     return run
 
@@ -409,24 +437,24 @@ _SEATED_ARROW = pa.schema([_PAIRS_ARROW.field(c) for c in _SEATED_COLUMNS])
 
 
 def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    packets = rows.select(["block", "codes", "at", "counts"]).to_pylist()
+    packets = rows.select(["block", "codes", "u", "w", "counts"]).to_pylist()
     each = [_open_codes(r["codes"]) for r in packets]
-    names, place = np.unique(np.concatenate(each), return_inverse=True)
+    names, place = distinct(np.concatenate(each))
     pairs, end = [], 0
     for r, own in zip(packets, each, strict=True):
-        at = place[end : end + len(own)][_open(r["at"])]
+        at = place[end : end + len(own)]
         end += len(own)
-        pairs.append(at[: len(at) // 2] * len(names) + at[len(at) // 2 :])
-    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
-    c = np.bincount(at, np.concatenate([_open(r["counts"]) for r in packets]), len(distinct)).astype(np.int64)
-    u, w = np.divmod(distinct, len(names))
+        pairs.append(at[_open_rising(r["u"])] * len(names) + at[_open(r["w"])])
+    known, at = distinct(np.concatenate(pairs))
+    c = np.bincount(at, np.concatenate([_open(r["counts"]) for r in packets]), len(known)).astype(np.int64)
+    u, w = np.divmod(known, len(names))
     many, once = c > 1, c == 1
-    used, back = np.unique(np.concatenate((u[many], w[many])), return_inverse=True)
+    used, back = distinct(np.concatenate((u[many], w[many])))
     su, sw = np.bincount(u[once], minlength=len(names)), np.bincount(w[once], minlength=len(names))
     some = np.flatnonzero(su + sw)
     n = int(many.sum())
-    row = {"shard": key[0].as_py(), "blocks": [r["block"] for r in packets], "ends": np.cumsum([len(p) for p in pairs]).tolist(), "at": _pack(at), "c": _pack(c, np.int64)}
-    row |= {"names": _pack_codes(names[used]), "u": _pack(back[:n]), "w": _pack(back[n:]), "many": _pack(c[many], np.int64), "t": _pack(np.ones(n), np.int64), "total": _pack(np.zeros(n), np.int64)}
+    row = {"shard": key[0].as_py(), "blocks": [r["block"] for r in packets], "ends": np.cumsum([len(p) for p in pairs]).tolist(), "at": _pack_rising(at), "c": _pack(c, np.int64)}
+    row |= {"names": _pack_codes(names[used]), "u": _pack_rising(back[:n]), "w": _pack(back[n:]), "many": _pack(c[many], np.int64), "t": _pack(np.ones(n), np.int64), "total": _pack(np.zeros(n), np.int64)}
     row |= {"single": _pack_codes(names[some]), "su": _pack(su[some]), "sw": _pack(sw[some]), "ones": int(once.sum()), "twos": int((c == 2).sum())}
     return pa.Table.from_pylist([row], _PAIRS_ARROW)
 
@@ -434,7 +462,7 @@ def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
 def _tables_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a shard's names, and the tables of the sampled pairs by context and by word."""
     codes, t = _open_codes(r["names"]), _open(r["t"], np.int64)
-    return codes, np.bincount(_open(r["u"]), t, len(codes)), np.bincount(_open(r["w"]), t, len(codes))
+    return codes, np.bincount(_open_rising(r["u"]), t, len(codes)), np.bincount(_open(r["w"]), t, len(codes))
 
 
 def _send_tables(shards: int, first: bool):
@@ -458,7 +486,7 @@ def _seat_pairs(state: State, seed: int, record: bool):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         r = rows.to_pylist()[0]
         got = sorted(answers.to_pylist(), key=lambda x: x["sender"])
-        u, w, c, t, total = _open(r["u"]), _open(r["w"]), *(_open(r[k], np.int64) for k in ("many", "t", "total"))
+        u, w, c, t, total = _open_rising(r["u"]), _open(r["w"]), *(_open(r[k], np.int64) for k in ("many", "t", "total"))
         if len(c):
             tables = np.concatenate([_open(x["a"], np.int64) for x in got])
             base = np.concatenate([_open(x["b"], np.float32) for x in got]).astype(float)
@@ -473,15 +501,21 @@ def _seat_pairs(state: State, seed: int, record: bool):
 
 #: A shard of words, in order of their codes.  c: training tokens, also those that follow the word.  at: the places of each block's words.  asked: the places of each
 #: pair shard's names.  c1, u1: tables of pairs that occur once, by word and by context.  customers, seated: of the parent; inside: tables of the word as a context.
-#: spelling, extra: probability, and the rest of its natural logarithm below LEAST_LOG.  p, share: sums over samples of the parent's probability and of the weight of the parent.
-_WORDS = "shard int, blocks array<long>, ends array<long>, at binary, senders array<long>, asked_ends array<long>, asked binary, words binary, c binary, c1 binary, u1 binary, customers binary, seated binary, inside binary, spelling binary, extra binary, p binary, share binary, n long, v long, sum_customers long, sum_seated long, ones long, twos long"
+#: spelling, extra: probability, and the rest of its natural logarithm below LEAST_LOG.  p, insides: sums over samples of the parent's probability and of `inside`.
+_WORDS = "shard int, blocks array<long>, ends array<long>, at binary, senders array<long>, asked_ends array<long>, asked binary, words binary, c binary, c1 binary, u1 binary, customers binary, seated binary, inside binary, insides binary, spelling binary, extra binary, p binary, n long, v long, sum_customers long, sum_seated long, ones long, twos long"
 _LISTS, _LONGS = ("blocks", "ends", "senders", "asked_ends"), ("n", "v", "sum_customers", "sum_seated", "ones", "twos")
 _WORDS_ARROW = pa.schema([(c, pa.int32() if c == "shard" else pa.list_(pa.int64()) if c in _LISTS else pa.int64() if c in _LONGS else pa.binary()) for c in (x.split()[0] for x in _WORDS.split(", "))])
-_COUNTS, _REALS = ("c", "c1", "u1", "customers", "seated", "inside"), ("spelling", "extra", "p", "share")
+_COUNTS, _REALS = ("c", "c1", "u1", "customers", "seated", "inside", "insides"), ("spelling", "extra", "p")
+_ROUTES = ("blocks", "ends", "at")
+
+
+#: What changes from round to round.
+_SHARD = ", ".join(c for c in _WORDS.split(", ") if c.split()[0] not in _ROUTES)
+_SHARD_ARROW = pa.schema([f for f in _WORDS_ARROW if f.name not in _ROUTES])
 
 
 class Words:
-    """A row of _WORDS with open arrays."""
+    """A row of _SHARD with open arrays."""
 
     def __init__(self, row: dict):
         self.row = row
@@ -489,14 +523,14 @@ class Words:
         for k in _COUNTS:
             setattr(self, k, _open(row[k], np.int64))
         for k in _REALS:
-            setattr(self, k, _open(row[k], np.float64))
+            setattr(self, k, _open(row[k], np.float32).astype(float))
 
     def closed(self) -> dict:
         own = {"sum_customers": int(self.customers.sum()), "sum_seated": int(self.seated.sum())}
-        return self.row | {k: _pack(getattr(self, k), np.int64) for k in _COUNTS} | {k: _pack(getattr(self, k), np.float64) for k in _REALS} | own
+        return self.row | {k: _pack(getattr(self, k), np.int64) for k in _COUNTS} | {k: _pack(getattr(self, k), np.float32) for k in _REALS} | own
 
     def asked(self) -> Iterator[tuple[int, np.ndarray]]:
-        at, ends = _open(self.row["asked"]), self.row["asked_ends"]
+        at, ends = _open_rising(self.row["asked"]), self.row["asked_ends"]
         for sender, a, b in zip(self.row["senders"], [0, *ends], ends, strict=False):
             yield sender, at[a:b]
 
@@ -504,17 +538,13 @@ class Words:
         """The parent's probabilities, but for `extra`."""
         return (self.customers - state.d0 * self.seated + (THETA + state.d0 * state.seated) * self.spelling) / (THETA + state.customers)
 
-    def shares(self, state: State) -> np.ndarray:
-        """The weights of the parent in the words' restaurants."""
-        return (THETA + state.d * self.inside) / (THETA + self.c)
 
 
 def _merge_words(key: tuple, rows: pa.Table) -> pa.Table:
     packets = rows.to_pylist()
     new, single, asked = ([r for r in packets if r["kind"] == k] for k in (NEW, SINGLE, ASKED))
     lists = [_open_words(r["data"]) for r in new]
-    every = list(set().union(*lists))
-    every.sort()
+    every = sorted(set().union(*lists), key=lambda w: (w != STOP, w))
     codes = _codes(every)
     by = np.argsort(codes, kind="stable")
     words, codes = [every[i] for i in by], codes[by]
@@ -531,10 +561,11 @@ def _merge_words(key: tuple, rows: pa.Table) -> pa.Table:
     mine.inside = mine.u1 + total(more, longs(asked, "a")).astype(np.int64)
     mine.customers = mine.c1 + total(more, longs(asked, "b")).astype(np.int64)
     mine.seated = np.minimum(mine.customers, 1)
+    mine.insides = np.zeros(len(words), np.int64)
     for k in _REALS:
         setattr(mine, k, np.zeros(len(words)))
-    mine.row = {"shard": key[0].as_py(), "words": _pack_words(words), "blocks": [r["sender"] for r in new], "ends": np.cumsum([len(x) for x in at]).tolist(), "at": _pack(np.concatenate([np.zeros(0), *at]))}
-    mine.row |= {"senders": [r["sender"] for r in asked], "asked_ends": np.cumsum([len(x) for x in more]).tolist(), "asked": _pack(np.concatenate([np.zeros(0), *more]))}
+    mine.row = {"shard": key[0].as_py(), "words": _pack_words(words), "blocks": [r["sender"] for r in new], "ends": np.cumsum([len(x) for x in at]).tolist(), "at": _pack_rising(np.concatenate([np.zeros(0, np.int64), *at]))}
+    mine.row |= {"senders": [r["sender"] for r in asked], "asked_ends": np.cumsum([len(x) for x in more]).tolist(), "asked": _pack_rising(np.concatenate([np.zeros(0, np.int64), *more]))}
     mine.row |= {"n": int(mine.c.sum()), "v": int((mine.c > 0).sum()), "ones": int((mine.customers == 1).sum()), "twos": int((mine.customers == 2).sum())}
     return pa.Table.from_pylist([mine.closed()], _WORDS_ARROW)
 
@@ -561,7 +592,7 @@ def _seat_row(r: dict, packets: list[dict], model: Spelling, state: State, seed:
     x = Words(r)
     if record:
         x.p += x.served(state)
-        x.share += x.shares(state)
+        x.insides += x.inside
     if packets:
         x.customers, x.inside = x.c1.copy(), x.u1.copy()
         sent = {p["sender"]: p for p in packets}
@@ -578,7 +609,7 @@ def _seat_row(r: dict, packets: list[dict], model: Spelling, state: State, seed:
 
 def _seat_words(model, state: State, seed: int, record: bool):
     def run(key: tuple, rows: pa.Table, packets: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([_seat_row(rows.to_pylist()[0], packets.to_pylist(), model.value, state, seed, record)], _WORDS_ARROW)
+        return pa.Table.from_pylist([_seat_row(rows.to_pylist()[0], packets.to_pylist(), model.value, state, seed, record)], _SHARD_ARROW)
 
     return run
 
@@ -586,7 +617,7 @@ def _seat_words(model, state: State, seed: int, record: bool):
 def _seat_first(model, state: State, seed: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
-            yield _batch(_WORDS_ARROW, _seat_row(r, [], model.value, state, seed, False))
+            yield _batch(_SHARD_ARROW, _seat_row(r, [], model.value, state, seed, False))
 
     return run
 
@@ -661,7 +692,7 @@ def own_weights(c: np.ndarray, total: np.ndarray, d: float) -> np.ndarray:
 def _last_of_pairs(d: float):
     def run(key: tuple, rows: pa.Table, seated: pa.Table) -> pa.Table:
         r = rows.to_pylist()[0]
-        out = own_weights(_open(r["c"], np.int64), _open(seated.column("total")[0].as_py(), np.int64), d).astype(np.float32)[_open(r["at"])]
+        out = own_weights(_open(r["c"], np.int64), _open(seated.column("total")[0].as_py(), np.int64), d).astype(np.float32)[_open_rising(r["at"])]
         ends = r["ends"]
         return pa.Table.from_pylist([{"block": b, "kind": OF_PAIRS, "sender": r["shard"], "a": _pack(out[i:j], np.float32)} for b, i, j in zip(r["blocks"], [0, *ends], ends, strict=False)], _LAST_ARROW)
 
@@ -669,20 +700,23 @@ def _last_of_pairs(d: float):
 
 
 def averages(x: Words, state: State) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the parent's probabilities and the weights of the parent, over all samples; state: of the last one."""
-    p, share = (x.p + x.served(state)) / SAMPLES, (x.share + x.shares(state)) / SAMPLES
-    return np.log10(p) + np.where(x.customers > 0, 0, x.extra / np.log(10)), share
+    """log10 of the parent's probabilities over all samples, and tables of contexts added up over them; state: of the last one."""
+    p = (x.p + x.served(state)) / SAMPLES
+    return np.log10(p) + np.where(x.customers > 0, 0, x.extra / np.log(10)), x.insides + x.inside
+
+
+def shares(c: np.ndarray, insides: np.ndarray, d: float) -> np.ndarray:
+    """The weights of the parent in contexts with c customers."""
+    return (THETA + d * insides / SAMPLES) / (THETA + c)
 
 
 def _last_of_words(state: State):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(rows):
-            x = Words(r)
-            at, ends = _open(r["at"]), r["ends"]
-            p, share = averages(x, state)
-            for block, i, j in zip(r["blocks"], [0, *ends], ends, strict=False):
-                k = at[i:j]
-                yield _batch(_LAST_ARROW, {"block": block, "kind": OF_WORDS, "sender": r["shard"], "a": _pack(x.c[k], np.int64), "b": _pack(p[k], np.float32), "c": _pack(share[k], np.float32)})
+    def run(key: tuple, rows: pa.Table, routes: pa.Table) -> pa.Table:
+        x, r = Words(rows.to_pylist()[0]), routes.to_pylist()[0]
+        at, ends = _open_rising(r["at"]), r["ends"]
+        p, insides = averages(x, state)
+        cut = [(block, at[i:j]) for block, i, j in zip(r["blocks"], [0, *ends], ends, strict=False)]
+        return pa.Table.from_pylist([{"block": block, "kind": OF_WORDS, "sender": r["shard"], "a": _pack(x.c[k], np.int64), "b": _pack(p[k], np.float32), "c": _pack(insides[k], np.int64)} for block, k in cut], _LAST_ARROW)
 
     return run
 
@@ -694,19 +728,19 @@ def mixture(own: np.ndarray, c: np.ndarray, log_p: np.ndarray, share: np.ndarray
     return np.where(seen, np.log10(np.where(seen, own, 1) / (THETA + c) + 10.0**rest), rest)
 
 
-def _score(n: int, v: int):
+def _score(shards: int, state: State):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         r = rows.to_pylist()[0]
         got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["sender"]))
-        b = Block(r)
+        b = Block(r, shards)
         own = np.concatenate([_open(x["a"], np.float32) for x in got if x["kind"] == OF_PAIRS]).astype(float)
         words = [x for x in got if x["kind"] == OF_WORDS]
-        c = np.concatenate([_open(x["a"], np.int64) for x in words])
-        log_p, share = (np.concatenate([_open(x[k], np.float32) for x in words]).astype(float) for k in ("b", "c"))
-        p = mixture(own, c[b.u], log_p[b.w], share[b.u])
-        known, base = (c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1))
+        c, insides = (np.concatenate([_open(x[k], np.int64) for x in words]) for k in ("a", "c"))
+        log_p = np.concatenate([_open(x["b"], np.float32) for x in words]).astype(float)
+        p = mixture(own, c[b.u], log_p[b.w], shares(c, insides, state.d)[b.u])
+        known, base = (c > 0).astype(np.int64), np.log10((c + 1) / (state.n + state.v + 1))
         sums = [np.add.reduceat(x, b.starts) for x in (known[b.tokens], base[b.tokens], p[b.at])]
-        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), n)), *(pa.array(x) for x in (sums[1], sums[2], -sums[2] / b.sizes))]
+        columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), state.n)), *(pa.array(x) for x in (sums[1], sums[2], -sums[2] / b.sizes))]
         return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
@@ -722,8 +756,10 @@ class Model:
     blocks: DataFrame
     pairs: DataFrame
     seated: DataFrame
+    routes: DataFrame
     words: DataFrame
     state: State
+    pair_shards: int
 
 
 def fit(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, seed: int = 1) -> Model | None:
@@ -742,13 +778,13 @@ def fit(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
     counts = pairs.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     sent = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(_send_words(word_shards), _WORD_PACKETS)
     told = pairs.select(*_SEATED_COLUMNS, "single", "su", "sw").mapInArrow(_send_tables(word_shards, True), _WORD_PACKETS)
-    words = work.save(sent.unionByName(told).groupBy("shard").applyInArrow(_merge_words, _WORDS), "words")
+    merged = work.save(sent.unionByName(told).groupBy("shard").applyInArrow(_merge_words, _WORDS), "words")
     release(spark)
+    words = merged.drop(*_ROUTES)
     state = _state(words, discount(counts.ones, counts.twos))
     rng = np.random.default_rng(seed)
     model = spark.sparkContext.broadcast(_spelling(words, work, "cells_", rng))
-    words = work.save(words.mapInArrow(_seat_first(model, state, seed), _WORDS), "words_first")
-    work.drop("words")
+    words = work.save(words.mapInArrow(_seat_first(model, state, seed), _SHARD), "words_first")
     seated, previous = pairs.select(*_SEATED_COLUMNS), ("", "words_first")
     for i in range(BURN_IN + SAMPLES):
         state = _state(words, state.d, state.d0)
@@ -756,12 +792,12 @@ def fit(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str
         seated = work.save(seated.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_seat_pairs(state, seed + i + 1, i >= BURN_IN), _SEATED), f"seated{i}")
         model = spark.sparkContext.broadcast(_spelling(words, work, f"cells{i}_", rng))
         told = seated.mapInArrow(_send_tables(word_shards, False), _WORD_PACKETS)
-        words = work.save(words.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_seat_words(model, state, seed + i + 1, i > BURN_IN), _WORDS), f"words{i}")
+        words = work.save(words.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_seat_words(model, state, seed + i + 1, i > BURN_IN), _SHARD), f"words{i}")
         for name in filter(None, previous):
             work.drop(name)
         previous = (f"seated{i}", f"words{i}")
         release(spark)
-    return Model(blocks, pairs, seated, words, _state(words, state.d, state.d0))
+    return Model(blocks, pairs, seated, merged.select("shard", *_ROUTES), words, _state(words, state.d, state.d0), pair_shards)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, seed: int = 1) -> DataFrame:
@@ -775,6 +811,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     state = found.state
     routes = found.pairs.select("shard", "blocks", "ends", "at", "c").groupBy("shard")
     answers = routes.cogroup(found.seated.select("shard", "total").groupBy("shard")).applyInArrow(_last_of_pairs(state.d), _LAST)
-    answers = answers.unionByName(found.words.mapInArrow(_last_of_words(state), _LAST))
+    answers = answers.unionByName(found.words.groupBy("shard").cogroup(found.routes.groupBy("shard")).applyInArrow(_last_of_words(state), _LAST))
     blocks = found.blocks.select("block", "ids", "held", "sizes", "tokens", "words")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(state.n, state.v), _SCORED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(found.pair_shards, state), _SCORED)

@@ -36,8 +36,8 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of each text, and how many words each text has."""
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, a hash of each word of each text, where each word starts and ends, and how many words each text has."""
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, np.uint8)
     space = _SPACE[raw]
@@ -50,7 +50,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     hashes = mixed((sums[ends - 1] - before) * inverse[starts])
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return joined, hashes, starts, ends, np.diff(np.searchsorted(starts, bounds), prepend=0)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of each text, and how many words each text has."""
+    _, hashes, _, _, counts = word_spans(texts)
+    return hashes, counts
 
 
 def chunks(texts: list[str | None]):

@@ -186,24 +186,24 @@ def _distance(a, b):
 @settings(max_examples=300, deadline=None)
 def test_one_edit(a, b):
     assert line_dedup.within_one(a, b) == (_distance(a, b) <= 1)
-    if a != b and _distance(a, b) == 1:
-        assert set(line_dedup._surroundings(a).tolist()) & set(line_dedup._surroundings(b).tolist())
 
 
-def test_lines_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("sizes", [(1, 6), (12, 36), (20, 200)])
+def test_lines_against_brute_force(spark, tmp_path, sizes):
+    """With the registered settings."""
     r = random.Random(2)
-    pool = ["".join(r.choice("abc") for _ in range(r.randint(3, 6))) for _ in range(30)]
+    pool = ["".join(r.choice("abcé語𝄞") for _ in range(r.randint(*sizes))) for _ in range(30)]
     rows = []
     for i in range(40):
         lines = []
         for _ in range(r.randint(0, 5)):
             x = r.choice(pool)
             k = r.randint(0, len(x))
-            lines.append(r.choice([x, x[:k] + "b" + x[k:], x[:k] + x[k + 1 :], x[:k] + "c" + x[k + 1 :]]))
+            lines.append(r.choice([x, x[:k] + "b" + x[k:], x[:k] + x[k + 1 :], x[:k] + r.choice("c𝄞") + x[k + 1 :]]))
         rows.append((i, "\n".join(lines)))
-    rows += [(None, "aaa\n\n  \nabc"), (100, None), (3, "abca")]
+    rows += [(None, "aaa\n\n  \nabc"), (100, None), (3, "abca"), (101, "\n".join(pool)), (102, pool[0] + "x" * 100_000)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
-    got = sorted((-1 if x.doc_id is None else x.doc_id, x.text or "", x.n_exact, x.n_near) for x in line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "t")), shortest=3).collect())
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.text or "", x.n_exact, x.n_near) for x in line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "t"))).collect())
     seen, want = [], []
     for i, _, t in sorted((-1 if i is None else i, n, t) for n, (i, t) in enumerate(rows)):
         keep, exact, near = [], 0, 0
@@ -213,7 +213,7 @@ def test_lines_against_brute_force(spark, tmp_path):
             elif x in seen:
                 exact += 1
             else:
-                if len(x) >= 3 and any(len(y) >= 3 and _distance(x, y) <= 1 for y in seen):
+                if any(line_dedup.within_one(x, y) for y in seen):
                     near += 1
                 else:
                     keep.append(x)
@@ -224,6 +224,9 @@ def test_lines_against_brute_force(spark, tmp_path):
 
 def test_lines_awkward(spark, awkward, empty):
     assert line_dedup.dedup_lines(awkward).count() == 10
+    clash = awkward.withColumnRenamed("shard", "n_exact").withColumnRenamed("digest", "near")
+    got = line_dedup.dedup_lines(clash)
+    assert got.columns == [c for c in clash.columns if c != "n_exact"] + ["n_lines", "n_exact", "n_near"] and got.agg(F.sum("n_exact")).first()[0] == 3
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
@@ -343,20 +346,21 @@ def test_scores_against_plain_tables(spark, docs, model_texts, monkeypatch):
     open_words = [pitman_yor.Words(r.asDict()) for r in model.words.collect()]
     rest = 1.0
     for x in open_words:
-        p, share = pitman_yor.averages(x, state)
-        words |= {w: (int(c), lp, sh) for w, c, lp, sh in zip(x.words, x.c, p, share, strict=True)}
+        p, insides = pitman_yor.averages(x, state)
+        words |= {w: (int(c), lp, sh) for w, c, lp, sh in zip(x.words, x.c, p, pitman_yor.shares(x.c, insides, state.d), strict=True)}
         rest -= x.spelling.sum()
     served = sum(x.served(state).sum() for x in open_words)
-    assert served + (pitman_yor.THETA + state.d0 * state.seated) * rest / (pitman_yor.THETA + state.customers) == pytest.approx(1, abs=1e-9)
+    assert served + (pitman_yor.THETA + state.d0 * state.seated) * rest / (pitman_yor.THETA + state.customers) == pytest.approx(1, abs=1e-6)
     for i, ws in rows.items():
         if not held[i]:
             pairs.update(zip([b"\n", *ws], ws, strict=False))
     assert {w: n for w, n in Counter(w for i, ws in rows.items() if not held[i] for w in ws).items()} == {w: c for w, (c, _, _) in words.items() if c}
-    code = dict(zip(pitman_yor._codes(list(words)).tolist(), words, strict=True))
+    some = sorted(words)
+    code = dict(zip(pitman_yor._codes(some).tolist(), some, strict=True))
     own = {k: 1 - state.d for k, n in pairs.items() if n == 1}
     for r in model.seated.collect():
         names, total = pitman_yor._open_codes(r.names).tolist(), pitman_yor._open(r.total, np.int64)
-        for u, w, c, t in zip(pitman_yor._open(r.u), pitman_yor._open(r.w), pitman_yor._open(r.many, np.int64), total, strict=True):
+        for u, w, c, t in zip(pitman_yor._open_rising(r.u), pitman_yor._open(r.w), pitman_yor._open(r.many, np.int64), total, strict=True):
             pair = (code[names[u]], code[names[w]])
             assert pairs[pair] == c and pitman_yor.SAMPLES <= t <= c * pitman_yor.SAMPLES
             own[pair] = c - state.d * t / pitman_yor.SAMPLES
