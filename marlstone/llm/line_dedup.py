@@ -1,22 +1,24 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line is a duplicate if an earlier line (by document id, then place) equals it, or is one insertion, deletion or
-substitution away.  Equal lines are grouped by two 64-bit hashes.  For near ones, every distinct line emits
+substitution away.  Lines count as equal where two 64-bit hashes agree.  For near ones, every distinct line emits
 its deletion variants, all strings that deleting up to one character leaves, as hashed keys, and equal variants are joined:
 
 - lines that give the same variant by deleting at the same place differ in that character only, so each is paired with the
   earliest of them;
 - a line that equals a variant of longer lines is paired with the earliest of these, and each of these with it.
 
-Either way a key gives one pair for each of its lines, never all pairs, and no link is lost.  Every pair's edit
+Either way a key gives one pair for each of its lines, never all pairs, and no link is lost.  Every near pair's edit
 distance is verified on the lines themselves.
 
-Lines one edit apart are equal outside the quarter that holds the edit.  So a line emits variants only for those of its quarters
-whose surroundings it shares with another line; this filter is exact, and leaves few variants.
+Lines one edit apart are equal left and right of the quarter that holds the edit.  So a line emits variants only for those of its quarters
+whose surroundings it shares with another line; this filter is exact, and leaves few variants.  The surroundings are hashed
+by built-in functions, and a key's lines are told apart by the least and the greatest of their hashes, so texts are not moved for it.
 
 Defined results: null text counts as empty and stays null; blank lines are always kept and lines of fewer than
 `shortest` characters only equal their exact copies; a null id sorts first; rows that repeat an id keep their
-order in the scan; extra columns are kept by `dedup_lines`; empty tables give empty results.
+order in the scan; extra columns are kept by `dedup_lines`, but for those named n_lines, n_exact or n_near, which it
+replaces; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, with_uid
+from .common import OWN, UID, Workspace, join_counted, with_uid
 from .shingles import mixed
 
 EDITS = 1
-SHORTEST = 20
+SHORTEST = 1
 _rng = np.random.Generator(np.random.PCG64(41))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,14 +47,6 @@ def _letters(line: str) -> np.ndarray:
     return mixed(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
 
 
-def prefix_hashes(x: np.ndarray) -> np.ndarray:
-    """h[i]: polynomial hash of the first i letters."""
-    out = np.zeros(len(x) + 1, np.uint64)
-    for_sum = x * _powers(len(x))
-    np.cumsum(for_sum, out=out[1:])
-    return out
-
-
 def _hash(x: np.ndarray) -> np.ndarray:
     """Of the whole line, as an array of one."""
     return mixed(np.array([(x * _powers(len(x))).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64))
@@ -82,32 +76,53 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-QUARTERS = 4
+#: Quarters are counted in bytes.  Their sizes are rounded down to multiples of GRID, so that neighbouring lengths mostly have the same;
+#: lines one character apart differ by at most WIDEST bytes, and quarters reach WIDEST - 1 bytes into the next so that each character lies in one.
+QUARTERS, GRID, WIDEST = 4, 4, 4
+#: Lines under this many bytes always emit all variants, as a quarter of the shorter line may be 0.
+ALWAYS = QUARTERS * GRID + WIDEST
+ALL = (1 << 2 * QUARTERS) - 1
+
 
+def _quarter(n):
+    """The size of quarters of lines of n bytes, as an integer or a column."""
+    if isinstance(n, int):
+        return n // (QUARTERS * GRID) * GRID
+    return (F.floor(n / (QUARTERS * GRID)) * GRID).cast("int")
 
-def _surroundings(line: str) -> np.ndarray:
-    """What is left and right of each quarter, as keys.
 
-    Quarters are those of the shorter line's length, which is this line's or one less; key number 4 * (0 or 1) + quarter.
+def _surroundings(rows: DataFrame, *columns: str) -> DataFrame:
+    """columns of rows (with `line`), k, key: what is left and right of each quarter.
+
+    k: 0 to 3 for this line's quarters, 4 to 7 for those of a line of WIDEST bytes less, where they differ.
     """
-    x = _letters(line)
-    n = len(x)
-    ahead, back = prefix_hashes(x), prefix_hashes(x[::-1])
-    quarter = np.tile(np.arange(QUARTERS), 2)
-    short = np.repeat([n, max(n - 1, 0)], QUARTERS)
-    left = quarter * (short // QUARTERS)
-    right = np.where(quarter == QUARTERS - 1, 0, short - (quarter + 1) * (short // QUARTERS))
-    return mixed(ahead[left] + mixed(back[right] + (short * QUARTERS + quarter).astype(np.uint64)))
-
-
-def _open_places(n: int, mask: int) -> np.ndarray:
-    """Places of a line of n characters that lie in the quarters of a mask of key numbers."""
-    out = np.zeros(n, bool)
+    rows = rows.select(*columns, F.col("line").cast("binary").alias("b"), F.octet_length("line").alias("n")).where(F.col("n") >= QUARTERS * GRID)
+    rows = rows.select("*", _quarter(F.col("n")).alias("long"), _quarter(F.col("n") - WIDEST).alias("short"))
+    own, less = F.struct(F.lit(0).alias("k"), F.col("long").alias("s")), F.struct(F.lit(QUARTERS).alias("k"), F.col("short").alias("s"))
+    sizes = F.when((F.col("short") != F.col("long")) & (F.col("short") > 0), F.array(own, less)).otherwise(F.array(own))
+    rows = rows.select(*columns, "b", "n", F.explode(sizes).alias("size")).select(*columns, "b", "n", F.col("size.k").alias("k0"), F.col("size.s").alias("s"))
+    # Pieces from the left, and from the right but for what quarters reach over.
+    n, s = F.col("n") + (WIDEST - 1), F.col("s")
+    left = [F.substring("b", s * q + 1, s).alias(f"l{q}") for q in range(QUARTERS - 1)]
+    right = [F.substring("b", n - s * (q + 1) + 1, s if q else s - (WIDEST - 1)).alias(f"r{q}") for q in range(QUARTERS - 1)]
+    rows = rows.select(*columns, "k0", "s", *left, *right)
+    keys = [F.xxhash64(F.lit(q), "s", *[f"l{i}" for i in range(q)], *[f"r{i}" for i in range(QUARTERS - 1 - q)]) for q in range(QUARTERS)]
+    return rows.select(*columns, "k0", F.posexplode(F.array(*keys)).alias("q", "key")).select(*columns, (F.col("k0") + F.col("q")).alias("k"), "key")
+
+
+def _open_places(line: str, mask: int) -> np.ndarray:
+    """Places of characters that lie in the quarters of a mask of key numbers."""
+    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    end = np.cumsum(1 + (x >= 0x80) + (x >= 0x800) + (x >= 0x10000))
+    start, n = np.concatenate(([0], end[:-1])), int(end[-1]) if len(end) else 0
+    if mask == ALL:
+        return np.arange(len(x))
+    out = np.zeros(len(x), bool)
     for k in range(2 * QUARTERS):
         if mask >> k & 1:
-            quarter, short = k % QUARTERS, n - k // QUARTERS
-            size = short // QUARTERS
-            out[quarter * size : n if quarter == QUARTERS - 1 else (quarter + 1) * size + 1] = True
+            quarter, size = k % QUARTERS, _quarter(n - k // QUARTERS * WIDEST)
+            after = (QUARTERS - 1 - quarter) * size
+            out |= (start >= quarter * size) & (end <= (n - after + WIDEST - 1 if after else n))
     return np.flatnonzero(out)
 
 
@@ -117,30 +132,25 @@ _KEYS = "id long, uid long, place int, key long, kind byte"
 SUBSTITUTED, LONGER, WHOLE = 0, 1, 2
 
 
-def _emit(keys_of, *columns: str):
-    """keys_of: a row's values of columns -> (hashes, kinds)."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = [keys_of(*x) for x in zip(*(part.column(c).to_pylist() for c in columns), strict=True)]
-                index = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in found]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(index) for c in _PLACE), pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([x for _, x in found]).astype(np.int8))], names=[*_PLACE, "key", "kind"])
-
-    return run
-
-
-_KEY_NUMBERS = np.arange(2 * QUARTERS, dtype=np.int8)
+#: Characters of lines whose variants are made at a time.
+SLICE = 1 << 16
 
 
-def _filter_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
-    return _surroundings(line), _KEY_NUMBERS
+def _emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Variants of lines, some lines at a time."""
+    for b in rows:
+        lines, masks = b.column("line").to_pylist(), b.column("mask").to_pylist()
+        slot = np.cumsum([len(x) for x in lines]) // SLICE
+        edges = np.flatnonzero(np.diff(slot, prepend=-1, append=-1)).tolist()
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            found = [_neighbourhood(line, mask) for line, mask in zip(lines[i:j], masks[i:j], strict=True)]
+            index = pa.array(np.repeat(np.arange(i, j), [len(k) for k, _ in found]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(index) for c in _PLACE), pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([x for _, x in found]).astype(np.int8))], names=[*_PLACE, "key", "kind"])
 
 
 def _neighbourhood(line: str, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Variants with the place of the deletion, variants without it, and the line itself."""
-    places = _open_places(len(line), mask)
+    places = _open_places(line, mask)
     v = variants(line)[places]
     placed = mixed(v + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     longer = np.unique(v)
@@ -154,13 +164,24 @@ def _near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["uid", "place"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _suspects(rows: DataFrame, hashed: DataFrame, docs_of, work: Workspace, shortest: int) -> DataFrame:
+    """id, uid, place, line, mask: the distinct lines that share surroundings, and which ones.  rows: uid, place, line, h1; hashed: id, uid, place, h1, h2."""
+    rows = rows.where(F.length("line") >= shortest)
+    keys = _surroundings(rows, "h1")
+    shared = work.save(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "shared")
+    # The same plan at every size: the keys that are shared grow with the lines.
+    named = _surroundings(rows, "uid", "place").join(shared.hint("merge"), "key", "left_semi")
+    masks = named.select("uid", "place", F.expr("shiftleft(1, k)").alias("mask"))
+    masks = work.save(masks.unionByName(rows.where(F.octet_length("line") < ALWAYS).select("uid", "place", F.lit(ALL).alias("mask"))).groupBy("uid", "place").agg(F.bit_or("mask").alias("mask")), "masks")
+    found = hashed.join(masks, ["uid", "place"]).groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.bit_or("mask").alias("mask"))
+    by_row = found.groupBy(F.col("first.uid").alias("uid")).agg(F.map_from_entries(F.collect_list(F.struct("first.place", "mask"))).alias("masks"))
+    lines = docs_of(work.save(by_row, "wanted")).withColumn("mask", F.expr("masks[place]")).where("mask IS NOT NULL")
+    return work.save(lines.select(*_PLACE, "line", "mask"), "suspects")
+
+
 def _near_duplicates(lines: DataFrame, work: Workspace) -> DataFrame:
-    """(uid, place) of the distinct lines that have an earlier line within one edit.  lines: id, uid, place, line."""
-    keys = work.save(lines.mapInArrow(_emit(_filter_keys, "line"), _KEYS).select("uid", "place", "key", "kind"), "filter_keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    masks = keys.join(shared, "key", "left_semi").groupBy("uid", "place").agg(F.bit_or(F.expr("shiftleft(1, cast(kind as int))")).alias("mask"))
-    lines = work.save(lines.join(masks, ["uid", "place"]).select(*_PLACE, "line", "mask"), "suspects")
-    emitted = work.save(lines.mapInArrow(_emit(_neighbourhood, "line", "mask"), _KEYS), "variants")
+    """(uid, place) of the distinct lines that have an earlier line within one edit.  lines: id, uid, place, line, mask."""
+    emitted = work.save(lines.mapInArrow(_emit, _KEYS), "variants")
 
     me, other = F.struct(*_PLACE), F.struct(*[F.col("o." + c) for c in _PLACE])
     as_o = lambda df: df.select("key", F.struct(*_PLACE).alias("o"))
@@ -181,21 +202,26 @@ def marked_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST,
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     work = work or Workspace(docs.sparkSession, "lines")
-    rows = docs.select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("place", "line")).where("trim(line) <> ''")
-    hashed = work.save(rows.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.length("line").alias("n")), "hashed")
-    firsts = work.save(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max("n").alias("n")), "firsts")
+    texts = docs.select(F.col(UID).alias("uid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def cut(texts: DataFrame, *more: str) -> DataFrame:
+        rows = texts.select("uid", "id", *more, F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where("trim(line) <> ''")
+        return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+
+    rows = cut(texts)
+    hashed = work.save(rows.select(*_PLACE, "h1", "h2"), "hashed")
+    firsts = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("copies"))
+    firsts = firsts.select("h1", "h2", F.col("first.uid").alias("u0"), F.col("first.place").alias("p0"), "copies")
     near = F.lit(False)
     if edits:
-        # The text of each distinct line comes from its earliest place.
-        wanted = firsts.where(F.col("n") >= shortest).select(F.col("first.uid").alias("uid"), F.col("first.place").alias("place"))
-        lines = work.save(rows.join(wanted, ["uid", "place"], "left_semi").select(*_PLACE, "line"), "lines")
-        found = work.save(_near_duplicates(lines, work), "near").select(F.col("uid").alias("u0"), F.col("place").alias("p0"), F.lit(True).alias("near"))
-        near = F.coalesce("near", F.lit(False))
-    firsts = firsts.select("h1", "h2", F.col("first.uid").alias("u0"), F.col("first.place").alias("p0"))
-    if edits:
+        suspects = _suspects(rows, hashed, lambda wanted: cut(texts.join(wanted, "uid"), "masks"), work, shortest)
+        found = work.save(_near_duplicates(suspects, work), "near").select(F.col("uid").alias("u0"), F.col("place").alias("p0"), F.lit(True).alias("near"))
         firsts = firsts.join(found, ["u0", "p0"], "left")
+        near = F.coalesce("near", F.lit(False))
+    # Lines that have no other copy and no near one stay, so they need not be looked up.
+    firsts = work.save(firsts.where((F.col("copies") > 1) | near), "firsts")
     later = (F.col("uid") != F.col("u0")) | (F.col("place") != F.col("p0"))
-    joined = hashed.join(firsts, ["h1", "h2"]).where(later | near)
+    joined = join_counted(hashed, firsts, ["h1", "h2"], "copies").where(later | near)
     return joined.select(F.col("uid").alias(UID), "place", later.alias("exact"), (~later).alias("near"))
 
 
@@ -204,9 +230,13 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, i
     rows = with_uid(docs)
     marks = marked_lines(rows, edits, shortest, id_col, text_col)
     # Of one document's lines, so never more than it has.
-    cut = marks.groupBy(UID).agg(F.collect_list("place").alias(OWN + "cut"), F.sum(F.col("exact").cast("long")).alias("n_exact"), F.sum(F.col("near").cast("long")).alias("n_near"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(OWN + "cut"), i)), "\n")
+    counted = [F.sum(F.col(c).cast("long")).alias(OWN + c) for c in ("exact", "near")]
+    cut = marks.groupBy(UID).agg(F.collect_list("place").alias(OWN + "cut"), *counted)
+    out = rows.join(cut, UID, "left").withColumn(OWN + "lines", F.split(F.col(text_col), "\n", -1))
+    lines = F.col(OWN + "lines")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(OWN + "cut"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col(OWN + "cut").isNull(), F.col(text_col)).otherwise(kept)
-    out = rows.join(cut, UID, "left")
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    numbers = {"n_lines": F.coalesce(F.size(lines), F.lit(1)), "n_exact": F.coalesce(OWN + "exact", F.lit(0)), "n_near": F.coalesce(OWN + "near", F.lit(0))}
+    own = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in numbers]
+    return out.select(*own, *[x.cast("long").alias(c) for c, x in numbers.items()])
