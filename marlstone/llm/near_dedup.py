@@ -11,8 +11,7 @@
    texts; every text of a bucket is first linked to two leaders, whose choice differs
    between bands.
 4. Links whose samples agree enough are verified: the weighted Jaccard similarity of the whole
-   texts (or the plain one, which shingles of large groups can't pull down) is at least
-   0.8.  One link per text goes first; the others only where they would join two groups.
+   texts is at least 0.8.  One link per text goes first; the others only where they would join two groups.
 5. Buckets whose other members still lie in several groups are settled in full: all their pairs
    between groups are compared, in pairs of blocks of about BLOCK texts.  A pair is compared in the first band
    where it meets; a large group has blocks of its own, which are not compared with each other.
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, fold, keep_rows, with_uid
+from .common import OWN, UID, Workspace, batches, fold, join_counted, keep_rows, with_uid
 from .graph import components
 from .shingles import chunks, mixed, shingles
 
@@ -193,22 +192,22 @@ def _elements(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def similarity(sh: np.ndarray, n: np.ndarray, idf: np.ndarray):
-    """A function of two indexes of texts: (weighted, plain) Jaccard similarity of the multisets of shingles."""
+    """A function of two indexes of texts: weighted Jaccard similarity of the multisets of shingles."""
     w, el = idf[_features(sh)].astype(np.float64), _elements(sh, n)
     ends = np.cumsum(n)
 
-    def of(i: int, j: int) -> tuple[float, float]:
+    def of(i: int, j: int) -> float:
         a, b = slice(ends[i] - n[i], ends[i]), slice(ends[j] - n[j], ends[j])
         common = np.isin(el[a], el[b], assume_unique=True)
         shared = w[a][common].sum()
-        total, union = w[a].sum() + w[b].sum() - shared, n[i] + n[j] - common.sum()
-        return shared / total if total else 0.0, common.sum() / union if union else 0.0
+        total = w[a].sum() + w[b].sum() - shared
+        return shared / total if total else 0.0
 
     return of
 
 
-def similarities(pairs: list[tuple[int, int]], texts: list[bytes], idf: np.ndarray) -> list[tuple[float, float]]:
-    """(weighted, plain) Jaccard similarity for pairs of indexes into texts."""
+def similarities(pairs: list[tuple[int, int]], texts: list[bytes], idf: np.ndarray) -> list[float]:
+    """Weighted Jaccard similarity for pairs of indexes into texts."""
     of = similarity(*shingles(texts), idf)
     return [of(i, j) for i, j in pairs]
 
@@ -226,7 +225,7 @@ def _verify(idf, threshold: float):
                         place[u] = len(texts)
                         texts.append(next(iter(chunks([t])))[1][0])
                 got = similarities([(place[x], place[y]) for x, y in zip(ids_a, ids_b, strict=True)], texts, idf.value)
-                yield part.select(["a", "b"]).filter(pa.array([max(s) >= threshold for s in got]))
+                yield part.select(["a", "b"]).filter(pa.array([s >= threshold for s in got], pa.bool_()))
 
     return run
 
@@ -330,7 +329,7 @@ def _settle(idf, threshold: float):
         found = []
         for i, j in _candidates(rows):
             x, y = find(roots[i]), find(roots[j])
-            if x != y and max(similar(i, j)) >= threshold:
+            if x != y and similar(i, j) >= threshold:
                 top[x] = y
                 found.append((uids[i], uids[j]))
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -411,7 +410,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     members = work.save(signed.select(UID, OWN + "id", "digest").join(rooted, "digest").select(UID, OWN + "id", "root"), "members")
     order = F.struct(F.col(OWN + "id").isNull().alias("bare"), F.col(OWN + "id").alias("id"), F.col(UID).alias("uid"))
     heads = members.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
-    return members.join(heads, "root").select(UID, OWN + "id", F.col("head.id").alias("class_id"), "class_size", (F.col(UID) == F.col("head.uid")).alias("kept"))
+    return join_counted(members, work.save(heads, "heads"), ["root"], "class_size").select(UID, OWN + "id", F.col("head.id").alias("class_id"), "class_size", (F.col(UID) == F.col("head.uid")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
