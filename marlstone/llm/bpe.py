@@ -7,11 +7,14 @@ found by binary search over the sorted keys of all pairs.  The vocabulary file i
 a parameter; only its contents (a few MB, the same for every input) are broadcast.
 
 Defined results: null text counts as empty and gives no ids; special tokens that stand in a
-text become their ids, as the tokenizers library does; extra columns are ignored.
+text become their ids, as the tokenizers library does; a piece of more than LONG bytes merges its pairs one by one from a
+heap, which gives the same ids in time that hardly grows faster than its length; repeated rows give the same ids; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +29,8 @@ _PIECES = regex.compile(PATTERN)
 #: White space as the pattern means it (str.isspace() also holds for four control characters).
 _WHITE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _WHITE_THEN_SPACE = regex.compile("[" + "".join(sorted(_WHITE)) + "] ")
+#: Bytes beyond which a piece leaves the batched rounds, each of which reads all of it.
+LONG = 512
 #: Texts that are cut into pieces at a time.
 TEXTS = 128
 
@@ -87,6 +92,7 @@ class Bpe:
         self.keys, self.ranks, self.made = keys[first], ranks[first], made
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.pairs: dict[int, int] = {}
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces in one array, and how many each piece has."""
@@ -130,14 +136,43 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.bincount(owner, minlength=len(pieces))
 
+    def merged_long(self, piece: bytes) -> np.ndarray:
+        """ids of one piece; the lowest-ranked pair, of equal ones the leftmost, merges first."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        symbols, made, size = self.of_byte[np.frombuffer(piece, np.uint8)].tolist(), self.made.tolist(), self.size
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of = self.pairs.get
+        heap = [(r, i) for i, r in enumerate(rank_of(a * size + b) for a, b in zip(symbols, symbols[1:], strict=False)) if r is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            # A pair that has changed since is out of date.
+            if symbols[i] < 0 or j >= n or rank_of(symbols[i] * size + symbols[j]) != r:
+                continue
+            symbols[i], symbols[j], after[i] = made[r], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                b = after[a] if a >= 0 else n
+                if b < n and (fresh := rank_of(symbols[a] * size + symbols[b])) is not None:
+                    heapq.heappush(heap, (fresh, a))
+        out = np.array(symbols, np.int64)
+        return out[out >= 0]
+
     def _learn(self, chunks: list[str]) -> None:
         """Puts the ids of new chunks into the memo, as little-endian 32-bit integers."""
         memo = self.memo
         cut = [(c,) if c[c[0] == " " :].isalpha() else _PIECES.findall(c) for c in chunks]
         pieces = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in memo]
-        ids, n = self.merged([p.encode("utf-8", "surrogatepass") for p in pieces])
+        coded = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        ids, n = self.merged([c for c in coded if len(c) <= LONG])
+        long = {p: self.merged_long(c).astype("<u4").tobytes() for p, c in zip(pieces, coded, strict=True) if len(c) > LONG}
+        pieces = [p for p, c in zip(pieces, coded, strict=True) if len(c) <= LONG]
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
-        of = dict(zip(pieces, (raw[e - 4 * k : e] for e, k in zip(ends, n.tolist(), strict=True)), strict=True))
+        of = dict(zip(pieces, (raw[e - 4 * k : e] for e, k in zip(ends, n.tolist(), strict=True)), strict=True)) | long
         for chunk, parts in zip(chunks, cut, strict=True):
             if len(parts) > 1:
                 of[chunk] = b"".join([of[p] if p in of else memo[p] for p in parts])

@@ -9,7 +9,7 @@ The number of patterns is bounded by the number of vote combinations, whatever t
 
 Defined results: null text counts as empty; offsets are code points, ends exclusive; an
 added span never overlaps a base span or an added one that starts earlier; extra columns are kept by
-`redact` and ignored elsewhere; empty tables give empty results.
+`redact` and ignored elsewhere; repeated rows give the same spans each; empty tables give empty results.
 """
 
 from __future__ import annotations

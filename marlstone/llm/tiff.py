@@ -5,7 +5,8 @@ deflate, chunky and planar samples of 8, 16, 32 or 64 bits, and predictors 1 (no
 and 3 (floating point).  Written: 8-bit grey pages, as strips or tiles, with any of these compressions.
 
 Defined results: a null, empty or damaged file gives one row with page -1 and the
-reason in `error`; pages that precede the damage are given too; extra columns are ignored.
+reason in `error`; pages that precede the damage are given too; a page that can't be in its file's bytes, or
+in memory, counts as damage; repeated rows give their pages each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -159,11 +160,16 @@ def _pack(data: bytes, scheme: int) -> bytes:
     return packbits_encode(data) if scheme == PACKBITS else lzw_encode(data)
 
 
-def _unpack(data: bytes, scheme: int) -> bytes:
+#: No scheme here makes more bytes of one: LZW gives less than 4096 bytes for a code of 12 bits, deflate 1032 times its input.
+MOST_GROWTH = 2731
+
+
+def _unpack(data: bytes, scheme: int, want: int) -> bytes:
+    """want: bytes that are needed; deflate stops there, so a block can't fill the memory."""
     if scheme == NONE:
         return data
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, want)
     if scheme == PACKBITS:
         return packbits_decode(data)
     if scheme == LZW:
@@ -263,6 +269,8 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
     across, down = -(-width // columns) if columns else 0, -(-height // rows)
     if len(offsets) != len(sizes) or len(offsets) < across * down * planes:
         raise ValueError("blocks are missing")
+    if width * height * samples * dtype.itemsize > MOST_GROWTH * sum(sizes):
+        raise ValueError("blocks are too short for the page")
     out = np.zeros((height, width, samples), dtype.newbyteorder("="))
     for i in range(across * down * planes):
         plane, rest = divmod(i, across * down)
@@ -270,8 +278,10 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> Page:
         tall = rows if tiled else min(rows, height - y)
         if offsets[i] + sizes[i] > len(data):
             raise ValueError("a block lies outside the file")
-        raw = _unpack(data[offsets[i] : offsets[i] + sizes[i]], scheme)
         want = tall * columns * each * dtype.itemsize
+        if want > MOST_GROWTH * sizes[i]:
+            raise ValueError("a block is too short")
+        raw = _unpack(data[offsets[i] : offsets[i] + sizes[i]], scheme, want)
         if len(raw) < want:
             raise ValueError("a block is too short")
         if predictor == 3:
@@ -313,7 +323,7 @@ def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 try:
                     for n, p in enumerate(pages(data or b""), 1):
                         yield pa.RecordBatch.from_pylist([{"doc_id": i, "page": n - 1, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "pixels": p.pixels.tobytes(), "error": None}], schema)
-                except (ValueError, struct.error, zlib.error, IndexError) as e:
+                except (ValueError, struct.error, zlib.error, IndexError, MemoryError) as e:
                     yield pa.RecordBatch.from_pylist([{"doc_id": i, "page": -1, "error": str(e) or "damaged"}], schema)
 
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, _PAGES)

@@ -8,7 +8,7 @@ with cumulative segment lengths (as variable-length attention wants them) and po
 at every segment.
 
 Defined results: null text counts as empty and gives the end token alone; padding is the end token at position 0,
-beyond the last cumulative length; equal lengths keep the order of the scan; extra columns are ignored; an empty
+beyond the last cumulative length; equal lengths keep the order of the scan; repeated rows are packed each; blocks follow the scan's partitions; extra columns are ignored; an empty
 table gives no rows.
 """
 

@@ -540,7 +540,7 @@ def test_best_fit_decreasing(lengths):
     assert sorted(50 - sum(lengths[i] for i in b) for b in got) == sorted(bins)
 
 
-def test_packed_matrices_are_lossless(spark, docs, awkward, empty):
+def test_packed_matrices_are_lossless(spark, docs, awkward, empty, tmp_path):
     import tiktoken
 
     path = vocabulary_path("byte_bpe_50k.tiktoken")
@@ -563,6 +563,13 @@ def test_packed_matrices_are_lossless(spark, docs, awkward, empty):
             else:
                 assert sum(len(p) for _, p in parts[i]) == sum(map(len, texts))
     assert token_output.pack_documents(empty, path).count() == 0
+    out = str(tmp_path / "packed")
+    packed = token_output.pack_documents(docs, path, capacity=256, block_tokens=4096)
+    token_output.write_packed(packed, out)
+    order = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[:2])
+    assert order(spark.read.parquet(out).select(packed.columns)) == order(packed)
+    files = spark.read.parquet(out).select("block", F.input_file_name().alias("f")).distinct().groupBy("block").count()
+    assert files.where("count > 1").count() == 0
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -585,6 +592,8 @@ def test_bpe_equals_the_library(coders, docs):
     want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     assert got == want
     assert all(own.decode(g) == t == lib.decode(g, skip_special_tokens=False) for g, t in zip(got, texts, strict=True))
+    long = ["".join(r.choice("abcdeäöst") for _ in range(n)) for n in (511, 513, 5000, 200_000)] + ["ab" * 3000, "a" * 5001, "x " + "the" * 4000 + " y"]
+    assert [x.tolist() for x in own.encode_batch(long)] == [e.ids for e in lib.encode_batch(long, add_special_tokens=False)]
     assert own.decode([128]) == lib.decode([128], skip_special_tokens=False)
 
 
@@ -654,6 +663,13 @@ def test_media_tables(spark, docs, awkward, empty):
     assert len(read) >= 10 and all(r.error is None for r in read) and b"".join(bytes(r.pixels) for r in long).rstrip(b"\0").decode() == awkward.where("doc_id = 7").first().text
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"II*\0\xff\xff\0\0")), (3, bytearray(b""))], "doc_id long, media binary")
     assert [(r.page, r.error is None) for r in tiff.read_pages(broken).collect()] == [(-1, False)] * 3
+    # A header that claims a million pixels squared, with one strip of a few bytes; and a strip that inflates far beyond its page.
+    whole = tiff.encode([np.zeros((2, 64), np.uint8)], tiff.DEFLATE, 1)
+    tags, _ = tiff._directory(whole, 8 if whole[4:8] == b"\x08\0\0\0" else int.from_bytes(whole[4:8], "little"), "<")
+    huge = tags | {tiff.WIDTH: (10**6,), tiff.LENGTH: (10**6,), tiff.ROWS: (10**6,)}
+    with pytest.raises(ValueError, match="too short"):
+        tiff._page(whole, huge, "<")
+    assert len(tiff._unpack(zlib.compress(bytes(10**7)), tiff.DEFLATE, 64)) == 64
     for r in tiff.stored_features(docs.limit(20)).collect():
         raw = docs.where(F.col("doc_id") == r.doc_id).first().text.encode()
         padded = raw + b"\0" * (-len(raw) % 64)

@@ -46,6 +46,29 @@ def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, SF).count() == steps[-1].count()
 
 
+@pytest.mark.parametrize("kind", ["awkward", "empty"])
+def test_stages_on_awkward_tables(spark, tmp_path, kind):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, n_tokens int"
+    long = " ".join(f"word{i % 977} mail{i}@example.org" for i in range(5_000))
+    texts = [(1, "the same words stand in this text here"), (2, "the same words stand in this text here"), (2, "the same words stand in this text here"), (3, None), (4, ""), (None, "other words that stand alone"), (None, None), (7, long), (8, long + " y"), (9, " \n\t ")]
+    rows = [(i, t, None if i is None else "en", None, None, "d", 1) for i, t in texts] if kind == "awkward" else []
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (7, 0, None)][: len(rows)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / f"{n}.parquet")
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        before, docs = docs, spark.read.parquet(out)
+        if name != "packing":
+            assert docs.columns == before.columns and docs.count() <= before.count()
+        if name == "exact_dedup":
+            assert docs.groupBy("text").count().where("count > 1").count() == 0
+        if name == "pii":
+            assert before.count() == docs.count() and docs.where("text LIKE '%@example.org%'").count() == 0
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) is (kind == "awkward")
+
+
 def test_registered_queries(spark):
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
