@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, fails, function
+from .registry import col, fails, function, vectorised
 
 DAY = 86_400_000_000
 _INT = "bigint"
@@ -307,13 +307,13 @@ def to_char(x, template: str, number: bool = False) -> Column:
     """Of a date or timestamp, or of a number (number=True)."""
     if number:
 
-        @F.pandas_udf("string")
+        @vectorised("string")
         def shown(xs: pd.Series) -> pd.Series:
             return xs.map(lambda v: None if pd.isna(v) else show_number(float(v), template))
 
         return shown(col(x).cast("double"))
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(lambda t: None if pd.isna(t) else show_time(t.to_pydatetime(), template))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, function
+from .registry import col, function, vectorised
 
 
 class Number(str):
@@ -131,7 +131,7 @@ def path_of(text) -> list[str]:
 def _udf(result: str, f, strict: bool = True):
     """An Arrow UDF over JSON texts (and further arguments); NULL in, NULL out."""
 
-    @F.pandas_udf(result)
+    @vectorised(result)
     def udf(*xs: pd.Series) -> pd.Series:
         rows = zip(*(x.where(x.notna(), None).tolist() if x.dtype != object else x.tolist() for x in xs), strict=True)
         out = [None if strict and any(v is None for v in r) else f(*r) for r in rows]

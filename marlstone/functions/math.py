@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, fails, function
+from .registry import col, fails, function, vectorised
 
 _INT, _DOUBLE = "bigint", "double"
 
@@ -135,7 +135,7 @@ def cotd(x) -> Column:
 def _python(name: str, f):
     @function(name)
     def build(x) -> Column:
-        @F.pandas_udf(_DOUBLE)
+        @vectorised(_DOUBLE)
         def udf(xs: pd.Series) -> pd.Series:
             return xs.map(f, na_action="ignore")
 

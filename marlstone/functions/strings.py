@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, fails, function
+from .registry import col, fails, function, vectorised
 
 _INT = "bigint"
 
@@ -114,7 +114,7 @@ def crc32c(x) -> Column:
             crc = table[(crc ^ b) & 255] ^ crc >> 8
         return crc ^ 0xFFFFFFFF
 
-    @F.pandas_udf("long")
+    @vectorised("long")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(one).astype("Int64")
 
@@ -141,7 +141,7 @@ def encode(b, fmt: str) -> Column:
     if fmt == "base64":
         return F.base64(b)
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def escaped(xs: pd.Series) -> pd.Series:
         return xs.map(_escape_bytes)
 
@@ -155,7 +155,7 @@ def decode(s, fmt: str) -> Column:
     if fmt == "base64":
         return F.unbase64(col(s))
 
-    @F.pandas_udf("binary")
+    @vectorised("binary")
     def plain(xs: pd.Series) -> pd.Series:
         return xs.map(_unescape_bytes)
 
@@ -372,7 +372,7 @@ def format_(template, *xs) -> Column:
 
         return spec.sub(put, t)
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def udf(t: pd.Series, *rest: pd.Series) -> pd.Series:
         columns = [r.where(r.notna(), None).tolist() for r in rest]
         return pd.Series([one(x, [c[i] for c in columns]) for i, x in enumerate(t)])
@@ -384,7 +384,7 @@ def format_(template, *xs) -> Column:
 def normalize(s, form: str = "NFC") -> Column:
     import unicodedata
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(lambda x: None if x is None else unicodedata.normalize(form.upper(), x))
 
@@ -395,7 +395,7 @@ def normalize(s, form: str = "NFC") -> Column:
 def is_normalized(s, form: str = "NFC") -> Column:
     import unicodedata
 
-    @F.pandas_udf("boolean")
+    @vectorised("boolean")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(lambda x: None if x is None else unicodedata.is_normalized(form.upper(), x))
 
@@ -407,7 +407,7 @@ def to_ascii(s, encoding: str = "latin1") -> Column:
     """Letters without their marks; other characters beyond ASCII are blanks."""
     import unicodedata
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def udf(xs: pd.Series) -> pd.Series:
         def one(x):
             return None if x is None else "".join(next((d for d in unicodedata.normalize("NFD", c) if ord(d) < 128), " ") for c in x)
@@ -422,7 +422,7 @@ def unistr(s) -> Column:
     r"""Unescapes \XXXX, \+XXXXXX, \uXXXX, \UXXXXXXXX and \\."""
     spec = re.compile(r"\\(?:(\\)|u?([0-9A-Fa-f]{4})|\+([0-9A-Fa-f]{6})|U([0-9A-Fa-f]{8}))")
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(lambda x: None if x is None else spec.sub(lambda m: "\\" if m[1] else chr(int(m[2] or m[3] or m[4], 16)), x))
 
@@ -450,7 +450,7 @@ def parse_ident(s, strict: bool = True) -> Column:
             else:
                 return out
 
-    @F.pandas_udf("array<string>")
+    @vectorised("array<string>")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(one)
 
@@ -556,7 +556,7 @@ def regexp_instr(s, pattern: str, start: int = 1, n: int = 1, end: int = 0, flag
                 return (m.end(group) if end else m.start(group)) + 1
         return 0
 
-    @F.pandas_udf("long")
+    @vectorised("long")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(one).astype("Int64")
 

@@ -10,7 +10,7 @@ from ..text import query as q
 from ..text import rank as r
 from ..text import vector as v
 from .jsonb import _udf
-from .registry import col, function
+from .registry import col, function, vectorised
 
 
 @function("to_tsvector")
@@ -38,8 +38,10 @@ def numnode(query) -> Column:
     return _udf("long", lambda x: q.count_nodes(q.parse(x)))(col(query))
 
 
-def matches(vector, query: str) -> Column:
-    """vector @@ query."""
+def matches(vector, query) -> Column:
+    """vector @@ query; a constant query is parsed once."""
+    if not isinstance(query, str):
+        return _udf("boolean", lambda x, y: q.matches(q.parse(y), v.parse(x)))(col(vector), col(query))
     node = q.parse(query)
     return _udf("boolean", lambda x: q.matches(node, v.parse(x)))(col(vector))
 
@@ -48,11 +50,11 @@ def text_matches(text, query: str, config: str = "english") -> Column:
     """to_tsvector(text) @@ query in one step.  Needed words that no suffix can hide are looked for in the JVM first."""
     node = q.parse(query)
 
-    @F.pandas_udf("boolean")
+    @vectorised("boolean")
     def udf(xs: pd.Series) -> pd.Series:
         return xs.map(lambda x: None if x is None else q.matches(node, v.to_vector(x, config)))
 
-    needed = _needed(node)
+    needed = _needed(node, config)
     if not needed:
         return udf(col(text))
     low, quick = F.lower(col(text)), F.lit(True)
@@ -61,18 +63,19 @@ def text_matches(text, query: str, config: str = "english") -> Column:
     return F.when(~quick, F.lit(False)).otherwise(udf(F.when(quick, col(text))))
 
 
-def _needed(node) -> list[str]:
+def _needed(node, config: str) -> list[str]:
     """Starts of words that every matching text must contain: of lexemes that all branches need.
 
-    A stem can differ from its word in its last letters (y and i, a dropped e), so three letters less are asked for.
+    A stem can differ from its word in its last three letters (y and i, a dropped e, able and ability, skies and sky),
+    so these are not asked for, nor is what then has fewer than two letters.
     """
     if node is None:
         return []
     if node[0] == "lexeme":
-        stub = node[1][: max(3, len(node[1]) - 3)] if not node[2] else node[1]
-        return [stub] if stub.isascii() and stub.isalpha() else []
+        stub = node[1] if config == "simple" else node[1][:-3]
+        return [stub] if len(stub) > 1 and stub.isascii() and stub.isalpha() else []
     if node[0] in ("and", "phrase"):
-        return _needed(node[1]) + _needed(node[2])
+        return _needed(node[1], config) + _needed(node[2], config)
     return []
 
 

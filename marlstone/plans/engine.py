@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import session as settings
 from ..sources.tables import Catalog, register, statistics
 from .dialect import rewrite
+from .statements import HEADS, Statements, historical
 
 
 def spark_session(master: str = "local[*]", **conf) -> SparkSession:
@@ -33,11 +34,14 @@ class Engine:
         return self
 
     def sql(self, text: str, *params) -> DataFrame:
-        """SELECT, WITH, VALUES, SHOW, EXPLAIN, ANALYZE, SET, PREPARE and EXECUTE; $1, $2, ... are params."""
+        """SELECT (also AS OF SYSTEM TIME), INSERT, UPSERT, UPDATE, DELETE, TRUNCATE, CREATE, DROP, WITH, VALUES, SHOW, EXPLAIN, ANALYZE, SET, PREPARE and EXECUTE; $1, $2, ... are params."""
         head = text.strip().split(None, 1)[0].upper() if text.strip() else ""
         if head in ("SET", "SHOW", "EXPLAIN", "ANALYZE", "PREPARE", "EXECUTE", "RESET"):
             return getattr(self, "_" + head.lower())(text.strip().rstrip(";"))
-        return self.spark.sql(rewrite(text), args={f"p{i}": v for i, v in enumerate(params, 1)} or None)
+        if head in HEADS and self.catalog is not None:
+            return Statements(self).run(text)
+        text = historical(self, text)
+        return self.spark.sql(rewrite(text, self.spark), args={f"p{i}": v for i, v in enumerate(params, 1)} or None)
 
     def _one(self, name: str, rows: list) -> DataFrame:
         return self.spark.createDataFrame([(r,) for r in rows], f"`{name}` string")

@@ -142,8 +142,11 @@ def values_list(spark, sf):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 5 AND o_totalprice > 1000.0")
 def prepared_parameters(spark, sf):
-    src.register(spark, sf, "orders")
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :who AND o_totalprice > :least", args={"who": 5, "least": 1000.0})
+    from .engine import Engine
+
+    engine = Engine(spark).register(sf, "orders")
+    engine.sql("PREPARE dear AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = $1 AND o_totalprice > $2")
+    return engine.sql("EXECUTE dear(5, 1000.0)")
 
 
 # --- joins ---------------------------------------------------------------------------
@@ -449,14 +452,8 @@ _same("grouped_expressions", "SELECT o_custkey % 10 AS d, count(*) * 2 + 1 AS n,
 _same("window_over_groups", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS rk FROM orders GROUP BY o_custkey", "orders")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem WHERE l_orderkey < 40), r(b) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.b) SELECT b FROM r""")
-def recursive_union_distinct(spark, sf):
-    e = Tables(spark, sf).lineitem.where("l_orderkey < 40").select((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b")).distinct()
-    return recursion.recursive_union(e.where("a = 1").select("b"), lambda r: r.withColumnRenamed("b", "at").join(e, F.col("a") == F.col("at")).select("b"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), r(b) AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON e.a = r.b) SELECT b FROM r""")
-def recursive_union_whole(spark, sf):
+def recursive_union_distinct(spark, sf):
     e = Tables(spark, sf).lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     return recursion.recursive_union(e.where("a = 1").select("b"), lambda r: r.withColumnRenamed("b", "at").join(e, F.col("a") == F.col("at")).select("b"))
 
@@ -471,8 +468,9 @@ def view_and_in(spark, sf):
 
 @query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 1 AND n_nationkey > 5")
 def row_level_security(spark, sf):
-    """Policies stand before every read of a table."""
-    rows = Tables(spark, sf).nation
-    for policy in (F.col("n_regionkey") == 1,):
-        rows = rows.where(policy)
-    return rows.where("n_nationkey > 5").select("n_nationkey", "n_regionkey")
+    """Policies stand before every read of a declared table."""
+    from ..sources.tables import Catalog
+
+    catalog = Catalog(spark, f"{recursion._folder(spark)}/policies")
+    catalog.create_as("ms_guarded", Tables(spark, sf).nation).policies.append(F.col("n_regionkey") == 1)
+    return catalog.read("ms_guarded").where("n_nationkey > 5").select("n_nationkey", "n_regionkey")

@@ -36,4 +36,4 @@ class Tables:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
-from . import queries_engines, queries_functions, queries_relational  # noqa: E402, F401
+from . import queries_engines, queries_functions, queries_relational, queries_sql  # noqa: E402, F401

@@ -41,9 +41,8 @@ def rank(v, node, weights=WEIGHTS, method: int = 0) -> float:
     own = list({leaf[1:]: leaf for leaf in leaves(node)}.values())
     if not v or not own:
         return 0.0
-    score = _rank_pairs(v, own, weights) if node[0] in ("and", "phrase") and len(own) > 1 else -1.0
-    if score < 0:
-        score = _rank_each(v, own, weights)
+    pairs = node[0] in ("and", "phrase") and len(own) > 1
+    score = _rank_pairs(v, own, weights) if pairs else _rank_each(v, own, weights)
     return _normalised(score if score >= 0 else 1e-20, v, method)
 
 
@@ -53,19 +52,19 @@ def _places(leaf, v):
 
 
 def _rank_pairs(v, own, weights) -> float:
+    """Pairs with earlier operands, each of which counts by the last of its lexemes; -1 where no two operands occur."""
     score, seen = -1.0, []
     for leaf in own:
-        for places in _places(leaf, v):
+        every = _places(leaf, v)
+        for places in every:
             for before in seen:
-                if before is places:
-                    continue
                 for p, w in places:
                     for q, x in before:
                         d = abs(p - q)
                         if d or places == [(16_383, "D")] or before == [(16_383, "D")]:
                             pair = math.sqrt(_weight(weights, w) * _weight(weights, x) * _distance(d or 16_383))
                             score = pair if score < 0 else 1.0 - (1.0 - score) * (1.0 - pair)
-            seen.append(places)
+        seen += every[-1:]
     return score
 
 

@@ -138,3 +138,29 @@ def test_registry_is_complete():
     for name in ("coalesce", "regexp_substr", "erfc", "age", "jsonb_pretty", "generate_subscripts", "websearch_to_tsquery", "l2_normalize", "has_table_privilege", "to_regclass", "array_sample", "crc32c"):
         assert name in FUNCTIONS
     assert len(FUNCTIONS) >= 250
+
+
+def test_needed_starts_stand_in_every_form(spark):
+    """The words that text_matches looks for first are part of each word with that stem."""
+    from marlstone.text import query, stem, vector
+
+    words = {*stem._SPECIAL, *stem._AFTER_1A, "fly", "flies", "try", "tries", "die", "dying", "happy", "happiness", "possible", "possibility", "hopping", "hoping", "relational", "agreed", "sized", "conflated", "falling", "generously", "national", "nationality", "communism", "arsenal"}
+    words |= {w.lower() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(100).collect() for w in r.text.split() if w.isascii() and w.isalpha()}
+    for w in words:
+        for stub in text_search._needed(("lexeme", stem.stem(w), False, ""), "english"):
+            assert stub in w
+    pairs = [("a fly in a sky", "'fli'"), ("they try", "'tri' & !'cat'"), ("the skies", "'sky'"), ("dying", "'die'"), ("only early", "'onli' & 'earli'"), ("no match", "'fli'")]
+    rows = spark.createDataFrame(pairs, "x string, q string")
+    for x, q in pairs:
+        want = query.matches(query.parse(q), vector.to_vector(x, "english"))
+        assert rows.where((F.col("x") == x) & text_search.text_matches(F.col("x"), q)).count() == int(want)
+
+
+def test_rank_of_joined_operands():
+    from marlstone.text import query, rank, vector
+
+    of = lambda text, q: rank.rank(vector.to_vector(text, "english"), query.parse(q))
+    assert of("cat sat", "'cat' & 'dog'") == pytest.approx(1e-20)
+    assert of("cat dog", "'cat' & 'dog'") == pytest.approx(0.1 * 1 / (1.005 + 0.05 * 2.718281828459045 ** (1 / 1.5 - 2)) ** 0.5)
+    # The lexemes that a prefix finds are not paired with each other.
+    assert of("cat cattle", "'cat':* & 'dog'") == pytest.approx(1e-20)

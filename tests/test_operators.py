@@ -142,3 +142,29 @@ def test_lockstep_sets(spark):
 
     df = spark.range(1).select(*lockstep(a=F.array(F.lit(1), F.lit(2)), b=F.array(F.lit("x"))))
     assert [tuple(r) for r in df.collect()] == [(1, "x"), (2, None)]
+
+
+def test_statements(spark, tmp_path):
+    e = Engine(spark, str(tmp_path)).register("/root/testdata/sf0.001", "nation")
+    e.sql("CREATE TABLE ms_t (k bigint PRIMARY KEY, v text NOT NULL, n numeric(10, 2) DEFAULT 1.5 CHECK (n > 0), CONSTRAINT short CHECK (length(v) < 5))")
+    e.sql("INSERT INTO ms_t VALUES (1, 'a', 2), (2, 'b', 3)")
+    assert [tuple(r) for r in e.sql("UPDATE ms_t SET v = v || 'x' WHERE k = 1 RETURNING k, v").collect()] == [(1, "ax")]
+    before = dt.datetime.now(dt.UTC).isoformat()
+    assert e.sql("DELETE FROM ms_t WHERE k IN (SELECT n_nationkey FROM nation) RETURNING *").count() == 2
+    assert e.sql("SELECT count(*) FROM ms_t").first()[0] == 0
+    assert e.sql(f"SELECT v FROM ms_t AS OF SYSTEM TIME '{before}' WHERE k = 1").first()[0] == "ax"
+    assert e.sql("SELECT count(*) FROM ms_t AS OF SYSTEM TIME with_max_staleness('10s')").first()[0] == 0
+    for bad in ("INSERT INTO ms_t VALUES (1, 'too long', 2)", "INSERT INTO ms_t VALUES (1, 'a', -2)", "INSERT INTO ms_t VALUES (1, NULL, 2)", "INSERT INTO ms_t VALUES (1, 'a', 2), (1, 'b', 2)", "INSERT INTO ms_t VALUES (1)"):
+        with pytest.raises(Exception):  # noqa: B017
+            e.sql(bad)
+    assert e.sql("SELECT count(*) FROM ms_t").first()[0] == 0
+    e.sql("CREATE VIEW ms_v AS SELECT n_nationkey / 2 AS h FROM nation")
+    assert e.sql("SELECT max(h) FROM ms_v").first()[0] == 12
+    e.sql("DROP TABLE ms_t")
+    e.sql("DROP TABLE IF EXISTS ms_t")
+
+
+@pytest.mark.parametrize("bad", ["SELECT @@ 'a'", "SELECT 1 WHERE #> 2", "SELECT jsonb_agg(n_name ORDER BY n_name) FROM nation"])
+def test_what_is_not_understood_is_refused(spark, bad):
+    with pytest.raises(SyntaxError):
+        Engine(spark).register("/root/testdata/sf0.001", "nation").sql(bad)
