@@ -28,6 +28,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -199,16 +200,27 @@ class Spelling:
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of all bytes and closing spaces of words, with ORDER bytes of context; where each word starts; their lengths."""
-    raw = np.frombuffer(b"".join(b" " * ORDER + w + b" " for w in words), np.uint8).astype(np.int64)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    cells = np.zeros(len(raw) - ORDER, np.int64)
+    raw = np.frombuffer(b" " * ORDER + (b" " * (ORDER + 1)).join(words) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    cells = np.zeros(len(raw) - ORDER, np.int32)
     for k in range(ORDER + 1):
-        cells |= raw[ORDER - k : len(raw) - k] << (8 * k)
-    keep = np.ones(len(raw), bool)
+        cells |= raw[ORDER - k : len(raw) - k].astype(np.int32) << (8 * k)
+    keep = np.ones(len(cells), bool)
     starts = np.cumsum(sizes + ORDER) - sizes - ORDER
     for k in range(ORDER):
-        keep[starts + k] = False
-    return cells[keep[ORDER:]], np.cumsum(sizes) - sizes, sizes
+        # The bytes before a word's first one are no cells of its own.
+        keep[starts[1:] + k - ORDER] = False
+    return cells[keep], np.cumsum(sizes) - sizes, sizes
+
+
+def _ranked(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and the place of each among them, by a table of all cells there can be."""
+    used = np.zeros(1 << (8 * (ORDER + 1)), bool)
+    used[cells] = True
+    known = np.flatnonzero(used)
+    place = np.empty(len(used), np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    return known, place[cells]
 
 
 def log_spelling(words: list[bytes], model: Spelling) -> np.ndarray:
@@ -216,9 +228,9 @@ def log_spelling(words: list[bytes], model: Spelling) -> np.ndarray:
     if not words:
         return np.zeros(0)
     out = []
-    for i in range(0, len(words), 1 << 16):
-        cells, starts, _ = spelled(words[i : i + (1 << 16)])
-        known, back = np.unique(cells, return_inverse=True)
+    for i in range(0, len(words), 1 << 15):
+        cells, starts, _ = spelled(words[i : i + (1 << 15)])
+        known, back = _ranked(cells)
         out.append(np.add.reduceat(np.log(model.probability(known))[back], starts))
     return np.concatenate(out)
 
@@ -228,7 +240,7 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     cells, _, sizes = spelled(words)
-    known, back = np.unique(cells, return_inverse=True)
+    known, back = _ranked(cells)
     return known, np.bincount(back, np.repeat(weight, sizes), len(known)).astype(np.int64)
 
 
@@ -236,14 +248,20 @@ def spelling_cells(words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray,
 
 
 def _pack(x: np.ndarray, kind=np.int32) -> bytes:
-    """Its first bytes, then its second ones, and so on, compressed."""
+    """The size of its items, then their first bytes, their second ones, and so on, compressed; integers take no more bytes than they need."""
+    kind = np.dtype(kind)
+    if kind.kind == "i" and len(x):
+        most = max(int(x.max()), -int(x.min()))
+        kind = np.dtype(next(f"i{n}" for n in (1, 2, 4, 8) if most < 1 << (8 * n - 1)))
     x = np.ascontiguousarray(x.astype(kind))
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+    planes = x.view(np.uint8).reshape(len(x), -1).T if kind.itemsize > 1 and len(x) else x
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _open(data: bytes, kind=np.int32) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    kind, size = np.dtype(kind), data[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"{kind.kind}{size}").ravel().astype(kind)
 
 
 def _pack_rising(x: np.ndarray) -> bytes:
@@ -419,7 +437,12 @@ def _send_words(shards: int):
         for r in _rows(rows):
             tokens, words = _open(r["tokens"]), _open_words(r["words"])
             counts = np.bincount(tokens, np.repeat(~np.array(r["held"]), r["sizes"]), len(words))
-            for shard, first, end in _cuts(_word_shard(_codes(words), shards)):
+            # Words are in order of their shards, so a few of them tell where each begins.
+            of = lambda w: int(_word_shard(_codes([w]), shards)[0])
+            edges = [*(bisect_left(words, k, key=of) for k in range(shards)), len(words)]
+            for shard, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if first == end:
+                    continue
                 yield _batch(_WORD_PACKETS_ARROW, {"shard": shard, "kind": NEW, "sender": r["block"], "data": _pack_words(words[first:end]), "a": _pack(counts[first:end])})
 
     return run
