@@ -49,12 +49,14 @@ def current_database() -> Column:
 
 @function("current_schema")
 def current_schema() -> Column:
-    return F.current_schema()
+    """Spark's default database is the public schema."""
+    own = F.call_function("current_schema")
+    return F.when(own == "default", "public").otherwise(own)
 
 
 @function("current_schemas")
 def current_schemas(implicit: bool = False) -> Column:
-    return F.array(*([F.lit("pg_catalog")] if implicit else []), F.current_schema())
+    return F.array(F.lit("pg_catalog"), current_schema()) if implicit else F.array(current_schema())
 
 
 @function("current_user", "user")

@@ -33,9 +33,18 @@ def text_rank_top(spark, sf):
     return docs.select("doc_id", ts.ts_rank(ts.to_tsvector(F.col("text")), q).alias("rank")).orderBy(order("rank", True), order("doc_id")).limit(20)
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of([^\\p{L}\\p{N}]|$)')")
 def text_index_search(spark, sf):
-    return inverted.TextIndex(Tables(spark, sf).documents, "doc_id", "text", "simple").search("'the' & 'of'").select("doc_id")
+    """Over stored postings."""
+    index = inverted.TextIndex(Tables(spark, sf).documents, "doc_id", "text", "simple")
+    return index.store(f"{recursion._folder(spark)}/postings").search("'the' & 'of'").select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def json_index_search(spark, sf):
+    """Over stored postings."""
+    index = inverted.JsonIndex(Tables(spark, sf).events, "event_id", "props")
+    return index.store(f"{recursion._folder(spark)}/json-postings").search({"k": "7"}, j.jsonb_contains(F.col("props"), '{"k": 7}')).select("event_id")
 
 
 @query()
@@ -102,6 +111,56 @@ def retention(spark, sf):
     return timeseries.retained(e, "ts", dt.timedelta(days=5), e.agg(F.max("ts")).first()[0]).select("event_id")
 
 
+@query("SELECT CAST(w AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS w, event_type FROM events) GROUP BY 1, 2")
+def sliding_windows(spark, sf):
+    rows = st.sliding(Tables(spark, sf).events, "ts", "1 hour", "30 minutes", ["event_type"], [F.count("*").alias("n")])
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("SELECT event_id FROM events WHERE CASE WHEN event_type = 'view' THEN NULL ELSE ts + INTERVAL '1 day' END IS NULL OR ts + INTERVAL '1 day' > (SELECT max(ts) FROM events)")
+def row_ttl(spark, sf):
+    """What the expiry job leaves; rows without an expiry stay."""
+    e = Tables(spark, sf).events
+    rows = e.withColumn("expires", F.when(F.col("event_type") != "view", F.col("ts") + F.expr("INTERVAL '1' DAY")))
+    return timeseries.swept(rows, "expires", e.agg(F.max("ts")).first()[0]).select("event_id")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' AND ts >= (SELECT min(ts) FROM events) + INTERVAL '1 day' AND ts < (SELECT min(ts) FROM events) + INTERVAL '3 days'")
+def sharded_window_read(spark, sf):
+    """A window of one series of a table that is laid out by day and shard."""
+    e = Tables(spark, sf).events
+    path = f"{recursion._folder(spark)}/series"
+    timeseries.write(e, path, "event_type", "ts", shards=4)
+    first = e.agg(F.min("ts")).first()[0]
+    rows = timeseries.window(spark.read.parquet(path), "event_type", "ts", "click", first + dt.timedelta(days=1), first + dt.timedelta(days=3), shards=4)
+    return rows.select("event_id", "value")
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id) AS s FROM events GROUP BY 1")
+def sharded_scan(spark, sf):
+    """All shards of a table, fanned out and gathered."""
+    path = f"{recursion._folder(spark)}/shards"
+    timeseries.write(Tables(spark, sf).events, path, "user_id", "ts", shards=4)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
+
+
+@query("SELECT * FROM (VALUES ('ms_nation', 'n_nationkey', 1, 'int'), ('ms_nation', 'n_name', 2, 'string'), ('ms_nation', 'n_regionkey', 3, 'int')) t(table_name, column_name, ordinal_position, data_type)")
+def catalog_columns(spark, sf):
+    catalog = src.Catalog(spark, f"{recursion._folder(spark)}/catalog")
+    catalog.create_as("ms_nation", Tables(spark, sf).nation)
+    return catalog.information_schema_columns().select("table_name", "column_name", "ordinal_position", "data_type")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def as_of_system_time(spark, sf):
+    """The state before a table was emptied."""
+    catalog = src.Catalog(spark, f"{recursion._folder(spark)}/history")
+    catalog.create_as("ms_supplier", Tables(spark, sf).supplier.select("s_suppkey", "s_name"))
+    full = dt.datetime.now(dt.UTC)
+    catalog.replace("ms_supplier", dml.truncate(catalog.read("ms_supplier")).table)
+    return catalog.read("ms_supplier", full)
+
+
 # --- data changes ------------------------------------------------------------------------------------
 
 

@@ -42,6 +42,12 @@ dialect("sql_library_dates", "SELECT o_orderkey, to_char(o_orderdate, 'YYYY-MM-D
 dialect("sql_hyperbolic", "SELECT n_nationkey, round(asinh(n_nationkey)::numeric(20, 12), 9)::double precision AS s, round(acosh(n_nationkey + 1)::numeric(20, 12), 9)::double precision AS c, round(atanh(n_nationkey::float8 / 26)::numeric(20, 12), 9)::double precision AS t, round(cot(n_nationkey + 1)::numeric(20, 12), 9)::double precision AS o, round(asind(n_nationkey::float8 / 25)::numeric(20, 12), 9)::double precision AS sd, round(atan2d(n_nationkey, 3)::numeric(20, 12), 9)::double precision AS ad, round(sind(n_nationkey)::numeric(20, 12), 9)::double precision AS si FROM nation",
         "SELECT n_nationkey, CAST(round(CAST(asinh(n_nationkey) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS s, CAST(round(CAST(acosh(n_nationkey + 1) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS c, CAST(round(CAST(atanh(n_nationkey / 26.0) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS t, CAST(round(CAST(cot(n_nationkey + 1) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS o, CAST(round(CAST(degrees(asin(n_nationkey / 25.0)) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS sd, CAST(round(CAST(degrees(atan2(n_nationkey, 3)) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS ad, CAST(round(CAST(sin(radians(n_nationkey)) AS DECIMAL(20, 12)), 9) AS DOUBLE) AS si FROM nation", "nation")
 
+
+
+dialect("sql_named_windows", "SELECT o_orderkey, rank() OVER w AS r, count(*) OVER p AS n FROM orders WINDOW p AS (PARTITION BY o_custkey), w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)", "SELECT o_orderkey, rank() OVER w AS r, count(*) OVER p AS n FROM orders WINDOW p AS (PARTITION BY o_custkey), w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)", "orders")
+dialect("sql_correlated_having", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= (SELECT count(*) FROM region WHERE r_regionkey <= 4) ORDER BY (SELECT max(r_name) FROM region)", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) >= (SELECT count(*) FROM region WHERE r_regionkey <= 4)", "nation", "region")
+dialect("sql_any_subquery", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)", "SELECT n_nationkey FROM nation WHERE n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey > 2)", "nation", "region")
+
 # --- statements that change tables ----------------------------------------------------------
 
 
@@ -110,6 +116,11 @@ documented("sql_arrays",
     ("array_dims_", "array_dims(ARRAY[1, 2])", "[1:2]"), ("array_fill_", "array_to_string(array_fill(7, ARRAY[3]), ',')", "7,7,7"), ("array_lower_", "array_lower(ARRAY[1, 2], 1)", "1"), ("array_upper_", "array_upper(ARRAY[1, 8, 3, 7], 1)", "4"), ("array_ndims_", "array_ndims(ARRAY[1, 2])", "1"),
     ("array_positions_", "array_to_string(array_positions(ARRAY['A', 'A', 'B', 'A'], 'A'), ',')", "1,2,4"), ("array_sample_", "cardinality(array_sample(ARRAY[1, 2, 3, 4], 2))", "2"), ("array_shuffle_", "cardinality(array_shuffle(ARRAY[1, 2, 3]))", "3"), ("cardinality_", "cardinality(ARRAY[1, 2])", "2"),
     ("cosine_distance_", "cosine_distance(ARRAY[1.0, 0.0], ARRAY[0.0, 1.0])", "1.0"), ("l2_normalize_", "array_to_string(l2_normalize(ARRAY[3.0, 0.0]), ',')", "1.0,0.0"), ("inner_product_", "inner_product(ARRAY[1.0, 2.0], ARRAY[3.0, 4.0])", "11.0"))
+documented("sql_session",
+    ("current_schema_", "current_schema()", "public"), ("current_user_", "current_user() = session_user()", "true"), ("version_", "length(version()) > 0", "true"), ("set_config_", "set_config('ms.note', 'kept', false)", "kept"), ("current_setting_", "current_setting('ms.unset', true) IS NULL", "true"),
+    ("gen_random_uuid_", "length(gen_random_uuid())", "36"), ("current_database_", "length(current_database()) > 0", "true"), ("current_schemas_", "array_to_string(current_schemas(false), ',')", "public"), ("pg_is_in_recovery_", "pg_is_in_recovery()", "false"), ("current_date_", "current_date() IS NOT NULL", "true"),
+    ("current_time_", "current_time() IS NOT NULL", "true"), ("pg_get_serial_sequence_", "pg_get_serial_sequence('ms_none', 'k') IS NULL", "true"), ("to_regclass_", "to_regclass('ms_no_such_table') IS NULL", "true"), ("to_regproc_", "to_regproc('age') IS NOT NULL", "true"), ("at_time_zone_", "TIMESTAMP '2001-02-16 20:38:40' AT TIME ZONE 'America/Denver'", "2001-02-17 03:38:40"),
+    ("at_zone_aware_", "TIMESTAMPTZ '2001-02-16 20:38:40' AT TIME ZONE 'America/Denver'", "2001-02-16 13:38:40"))
 dialect("sql_regexp_split_to_table", r"SELECT regexp_split_to_table('hello big world', '\s+') AS w", "SELECT * FROM (VALUES ('hello'), ('big'), ('world')) t(w)")
 dialect("sql_json_elements", "SELECT jsonb_array_elements('[1,\"a\",null]') AS j", "SELECT * FROM (VALUES ('1'), ('\"a\"'), ('null')) t(j)")
 dialect("sql_json_elements_text", "SELECT jsonb_array_elements_text('[1,\"a\",null]') AS j", "SELECT * FROM (VALUES ('1'), ('a'), (NULL)) t(j)")

@@ -1,4 +1,7 @@
-"""Inverted indexes as tables of postings: candidates by semi join, then the filter itself as a recheck."""
+"""Inverted indexes as tables of postings: candidates by semi join, then the filter itself as a recheck.
+
+Postings can be stored, in order of what is looked up, so that a search of a stored index reads a few row groups.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,16 @@ class TextIndex:
         self.df, self.key, self.text, self.config = df, key, text, config
         self.postings = df.select(F.col(key), F.explode(postings(F.col(text), config)).alias("lexeme"))
 
+    def store(self, path: str) -> TextIndex:
+        """Writes the postings; searches read them from then on."""
+        self.postings.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.parquet(path)
+        return self.stored(path)
+
+    def stored(self, path: str) -> TextIndex:
+        """With the postings that `store` wrote."""
+        self.postings = self.df.sparkSession.read.parquet(path)
+        return self
+
     def candidates(self, node) -> DataFrame | None:
         """Keys of rows that may match; None: all."""
         if node is None or node[0] == "not":
@@ -42,6 +55,16 @@ class JsonIndex:
         pairs = F.from_json(F.col(column), "map<string,string>")
         self.postings = df.select(F.col(key), F.explode(pairs).alias("__ms_k", "__ms_v"))
 
+    def store(self, path: str) -> JsonIndex:
+        """Writes the postings; searches read them from then on."""
+        self.postings.repartitionByRange("__ms_k", "__ms_v").sortWithinPartitions("__ms_k", "__ms_v").write.parquet(path)
+        return self.stored(path)
+
+    def stored(self, path: str) -> JsonIndex:
+        """With the postings that `store` wrote."""
+        self.postings = self.df.sparkSession.read.parquet(path)
+        return self
+
     def search(self, pattern: dict[str, str], recheck: Column) -> DataFrame:
         rows = self.df
         for k, v in pattern.items():
