@@ -180,12 +180,46 @@ def jsonb_extract_path_text(j, *path) -> Column:
     return get_text(j, *path)
 
 
+def _flat_contains(parsed: Column, wanted) -> Column | None:
+    """Whether a parsed object has these scalar values, without Python; None for other patterns."""
+    if not isinstance(wanted, dict) or not wanted:
+        return None
+    out = F.lit(True)
+    for key, value in wanted.items():
+        if not key.isidentifier() or not key.isascii():
+            return None
+        path = f"$.{key}"
+        shape = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+        if kind(value) == "string":
+            same = (shape == "STRING") & (F.try_variant_get(parsed, path, "string") == value)
+        elif kind(value) == "number" and str(value).lstrip("-").isdigit() and len(str(value)) < 16:
+            whole = (shape == "BIGINT") & (F.try_variant_get(parsed, path, "bigint") == int(value))
+            exact = F.startswith(shape, F.lit("DECIMAL")) & (F.try_variant_get(parsed, path, "decimal(38,18)") == F.lit(int(value)))
+            same = whole | exact | (shape == "DOUBLE") & (F.try_variant_get(parsed, path, "double") == float(int(value)))
+        else:
+            return None
+        out = out & F.coalesce(same, F.lit(False))
+    return out
+
+
 @function("jsonb_contains")
 def jsonb_contains(j, pattern) -> Column:
-    """@> ; a constant pattern is parsed once in each worker."""
+    """@> ; a constant pattern is parsed once, and one of plain strings and integers is looked for in the JVM, where texts that can't match are not parsed."""
     if isinstance(pattern, str):
         wanted = parse(pattern)
-        return _udf("boolean", lambda x: contains(parse(x), wanted))(col(j))
+        in_python = _udf("boolean", lambda x: contains(parse(x), wanted))
+        parsed = F.try_parse_json(col(j))
+        quick = _flat_contains(parsed, wanted)
+        if quick is None:
+            return in_python(col(j))
+        # Values stand in the text as they are, unless it has escapes or exponents; only texts that may match are parsed.
+        may = F.contains(col(j), F.lit("\\")) | F.rlike(col(j), F.lit("[0-9.][eE][-+]?[0-9]"))
+        every = F.lit(True)
+        for value in wanted.values():
+            every = every & F.contains(col(j), F.lit(str(value)))
+        may = F.coalesce(every | may, F.lit(False))
+        # What the JVM's parser refuses, as repeated keys, goes to Python.
+        return F.when(col(j).isNull(), None).when(~may, False).when(parsed.isNotNull(), quick).otherwise(in_python(F.when(may & parsed.isNull(), col(j))))
     return _udf("boolean", lambda x, y: contains(parse(x), parse(y)))(col(j), col(pattern))
 
 

@@ -164,3 +164,13 @@ def test_rank_of_joined_operands():
     assert of("cat dog", "'cat' & 'dog'") == pytest.approx(0.1 * 1 / (1.005 + 0.05 * 2.718281828459045 ** (1 / 1.5 - 2)) ** 0.5)
     # The lexemes that a prefix finds are not paired with each other.
     assert of("cat cattle", "'cat':* & 'dog'") == pytest.approx(1e-20)
+
+
+def test_contained_scalars_without_python(spark):
+    """The quick way and the full one agree, also on numbers of other forms, repeated keys and other shapes."""
+    texts = ['{"k":7}', '{"k":7.0}', '{"k":"7"}', '{"k":7.5}', '{"k":7e0}', '{"k":1,"k":7}', '{"k":7,"k":1}', '[{"k":7}]', "7", '{"k":[7]}', '{"k":null}', '{"a":"x","k":7}', '{"a":"x"}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern in ('{"k":7}', '{"k":"7"}', '{"a":"x","k":7}', '{"k":7.0}', '{"a":"x"}'):
+        got = {r.i: r.c for r in rows.select("i", jsonb.jsonb_contains(F.col("t"), pattern).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == (None if t is None else jsonb.contains(jsonb.parse(t), jsonb.parse(pattern))), (pattern, t)
