@@ -32,11 +32,12 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
     """For a left side with hot keys and a right side that is small per key: the right is repeated `salts` times.
 
-    Exact for inner, left, semi and anti joins.
+    Exact for inner, left, semi and anti joins.  The salt is a hash of the row, so that a task that runs again deals its rows
+    alike; equal rows share a salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} joins can't be salted")
-    left = left.withColumn(_SALT, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    left = left.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if "map<" not in kind]), F.lit(salts)).cast("int"))
     right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
