@@ -297,6 +297,69 @@ def test_kneser_ney_against_brute_force(spark):
         assert got[0] == pytest.approx(want, abs=1e-4) and n[0] == len(w) - 2
 
 
+def test_quality_learns_from_all_trusted_text(spark, tmp_path):
+    """Every trusted row is in the model, and sets the thresholds by its score without its own counts."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("a b c d e f g h i j".split()[: r.randint(2, 10)]) for _ in range(r.randint(1, 12))) for _ in range(1700)] + ["a b odd", "a b odd c", "lone"]
+    path = str(tmp_path / "all")
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts)) if i % 10], "doc_id long, quality int, toxic int")
+    got = {x[OWN + "id"]: x for x in quality.judged(with_uid(spark.read.parquet(path)), labels).collect()}
+    trusted = [i for i in range(len(texts)) if i % 10]
+
+    def grams(t):
+        w = ["<", "<", *t.split(), ">"]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    def lower(c3):
+        c2, c1 = Counter(), Counter()
+        for (_, v, w), n in c3.items():
+            c2[v, w] += n if v == "<" else 1
+        for _, w in c2:
+            c1[w,] += 1
+        return c1, c2, c3
+
+    def discounts(c):
+        n = Counter(c.values())
+        if not all(n[i] for i in (1, 2, 3, 4)):
+            return [0.5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    whole = lower(Counter(g for i in trusted for g in grams(texts[i])))
+    d = [discounts(c) for c in whole]
+    total = sum(whole[0].values())
+    floor = sum(d[0][min(n, 3) - 1] for n in whole[0].values()) / total / (len(whole[0]) + 1)
+
+    def p(tables, context, w):
+        c, order = tables[len(context)], len(context)
+        n = c[(*context, w)]
+        n -= d[order][min(n, 3) - 1] if n else 0
+        if not order:
+            return n / total + floor
+        own = [x for k, x in c.items() if k[:-1] == context]
+        rest = p(tables, context[1:], w)
+        return n / sum(own) + sum(d[order][min(x, 3) - 1] for x in own) / sum(own) * rest if own else rest
+
+    def log10(tables, t):
+        return sum(math.log10(p(tables, g[:2], g[2])) for g in grams(t))
+
+    for i in [*range(12), len(texts) - 3, len(texts) - 2, len(texts) - 1]:
+        assert got[i].log10_prob == pytest.approx(log10(whole, texts[i]), abs=1e-6)
+    apart = []
+    for i in trusted:
+        c3 = whole[2].copy()
+        c3.subtract(grams(texts[i]))
+        if i < 40 or i > len(texts) - 4:
+            tables = lower(Counter({k: n for k, n in c3.items() if n}))
+            apart.append((i, log10(tables, texts[i])))
+    without = {x[OWN + "id"]: x[OWN + "without"] for x in quality.scored(with_uid(spark.read.parquet(path)), labels, Workspace(spark, "t")).collect()}
+    assert {i for i, x in without.items() if x is not None} == set(trusted)
+    assert all(without[i] == pytest.approx(x, abs=1e-6) for i, x in apart)
+    cut = sorted(-without[i] / got[i].n_tokens for i in trusted)[math.ceil(0.995 * len(trusted)) - 1]
+    assert all(x.threshold == pytest.approx(cut + quality.SLACK + quality.SPREAD / math.sqrt(x.n_tokens), abs=1e-6) for x in got.values())
+
+
 def test_quality_keeps_trusted_and_drops_noise(spark, docs, labels):
     found = quality.judged(with_uid(docs), labels).join(labels, F.col(OWN + "id") == F.col("doc_id"))
     kept = {(r.quality, r.kept): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
