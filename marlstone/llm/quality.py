@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, keep_rows, release, with_uid
+from .common import OWN, UID, Workspace, batches, keep_rows, release, sliced, with_uid
 from .pitman_yor import _cuts, _pack, _pack_rising
 from .pitman_yor import _open as _open_as
 from .shingles import chunks, mixed, word_hashes
@@ -54,7 +54,7 @@ SPREAD = 1.2
 BLOCK_BYTES, SHARD_TOKENS = 1 << 23, 1 << 20
 KEY_BITS = 48
 #: The last visit to the blocks is made in so many turns, and texts are scored without their own counts in runs of about so many tokens, to hold less at a time.
-TURNS, RUN_TOKENS = 4, 1 << 18
+TURNS, RUN_TOKENS = 4, 1 << 16
 #: Codes, and places in a block, of the padding before a text and of the token after it; words follow.
 START, STOP, FIRST = 0, 1, 2
 #: What a shard sums for each trigram, pair and word: the n-gram's own count is last.  Before it, of the n-gram as a
@@ -75,11 +75,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _open(data: bytes) -> np.ndarray:
-    return _open_as(data, np.int64)
+    """In four bytes where that is enough."""
+    return _open_as(data, np.int32 if data[0] <= 4 else np.int64)
 
 
 def _open_rising(data: bytes) -> np.ndarray:
-    return np.cumsum(_open(data))
+    return np.cumsum(_open(data), dtype=np.int64)
+
+
+def _pack_sums(columns: list[np.ndarray]) -> list[bytes]:
+    """Of an n-gram as a context and its own count: what the classes leave of the sum, and how the count differs from their number, are mostly 0."""
+    if len(columns) == 1:
+        return [_pack(columns[0])]
+    total, one, two, more, c = columns
+    return [_pack(x) for x in (total - one - 2 * two - 3 * more, one, two, more, c - one - two - more)]
+
+
+def _open_sums(data: list[bytes]) -> list[np.ndarray]:
+    if len(data) == 1:
+        return [_open(data[0])]
+    total, one, two, more, c = (_open_as(x, np.int64) for x in data)
+    return [_narrow(x) for x in (total + one + 2 * two + 3 * more, one, two, more, c + one + two + more)]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In four bytes where that is enough; x: not negative."""
+    return x.astype(np.int32) if not len(x) or int(x.max()) < 1 << 31 else x
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +109,10 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y = x[by]
     fresh = np.ones(len(y), bool)
     fresh[1:] = y[1:] != y[:-1]
-    at = np.empty(len(x), np.int64)
-    at[by] = np.cumsum(fresh) - 1
+    at = np.empty(len(x), np.int32)
+    place = np.cumsum(fresh, dtype=np.int32)
+    place -= 1
+    at[by] = place
     return y[fresh], at
 
 
@@ -119,29 +142,28 @@ class Block:
         """Finds the distinct pairs, and the trigrams."""
         ends = np.cumsum(self.sizes + 3)
         first = ends - self.sizes - 3
-        x = np.full(int(ends[-1]), -1, np.int64)
+        x = np.full(int(ends[-1]), -1, np.int32)
         x[first] = x[first + 1] = START
         x[ends - 1] = STOP
         x[x < 0] = self.at
-        self.x, self.doc = x, np.repeat(np.arange(len(first)), self.sizes + 3)
+        self.x, self.doc = x, np.repeat(np.arange(len(first), dtype=np.int32), self.sizes + 3)
         # Pairs end anywhere but at a text's first place, trigrams (that is, tokens) beyond its second.
         two = np.ones(len(x), bool)
         two[first] = False
-        two = np.flatnonzero(two)
+        two = np.flatnonzero(two).astype(np.int32)
         codes = self.words.astype(np.uint64)
         mix = mixed(codes)
-        pair = _key(codes[x[two - 1]], mix[x[two]])
-        self.pairs, place = _distinct(pair)
-        self.two, self.pair = two, np.zeros(len(x), np.int64)
+        self.pairs, place = _distinct(_key(codes[x[two - 1]], mix[x[two]]))
+        self.two, self.pair = two, np.zeros(len(x), np.int32)
         self.pair[two] = place
-        self.before, self.last = np.empty(len(self.pairs), np.int64), np.empty(len(self.pairs), np.int64)
+        self.before, self.last = np.empty(len(self.pairs), np.int32), np.empty(len(self.pairs), np.int32)
         self.before[place], self.last[place] = x[two - 1], x[two]
         if trigrams:
             three = np.ones(len(x), bool)
             three[first] = three[first + 1] = False
-            self.three = three = np.flatnonzero(three)
+            self.three = three = np.flatnonzero(three).astype(np.int32)
             self.trigrams, self.trigram = _distinct(_key(self.pairs[self.pair[three - 1]].astype(np.uint64), mix[x[three]]))
-            self.context, self.suffix = np.empty(len(self.trigrams), np.int64), np.empty(len(self.trigrams), np.int64)
+            self.context, self.suffix = np.empty(len(self.trigrams), np.int32), np.empty(len(self.trigrams), np.int32)
             self.context[self.trigram], self.suffix[self.trigram] = self.pair[three - 1], self.pair[three]
         return self
 
@@ -170,7 +192,7 @@ def _blocks(rows: Iterator[pa.RecordBatch], bits: dict[int, bytes] | None, kinds
         return flat[0][0] << 1 | kind, Block.of(flat, np.concatenate(codes), np.concatenate(sizes))
 
     size = dict.fromkeys(kinds, 0)
-    for columns in batches(rows, [UID, OWN + "id", "lang", "text"]):
+    for columns in batches(sliced(rows), [UID, OWN + "id", "lang", "text"]):
         flags = [trusted(u) for u in columns[0]]
         for kind in kinds:
             uids, ids, langs, texts = ([x for x, f in zip(c, flags, strict=True) if f is kind] for c in columns)
@@ -206,7 +228,7 @@ def _states(bits, kinds: tuple[bool, ...]):
 def _packets(name: int, keys: np.ndarray, counts: np.ndarray | None, shards: int) -> list[dict]:
     """A block's n-grams, shard by shard; counts has a row for each."""
     shard = ((keys >> (KEY_BITS - 32)) * shards) >> 32
-    return [{"shard": s, "block": name, "keys": _pack_rising(keys[a:z]), "counts": [] if counts is None else [_pack(c) for c in counts[a:z].T]} for s, a, z in _cuts(shard)]
+    return [{"shard": s, "block": name, "keys": _pack_rising(keys[a:z]), "counts": [] if counts is None else _pack_sums(list(counts[a:z].T))} for s, a, z in _cuts(shard)]
 
 
 def _ask(bits, level: int, shards: int):
@@ -229,7 +251,14 @@ def _heard(rows: pa.Table) -> tuple[Block, dict[int, list[np.ndarray]]]:
     rows = rows.select(["kind", "shard", "data"]).to_pylist()
     got = {level: sorted((r for r in rows if r["kind"] == level), key=lambda r: r["shard"]) for level in _WIDTH}
     state = next(r["data"] for r in rows if r["kind"] == _STATE)
-    return Block.opened(state), {level: [np.concatenate([_open(p) for p in c]) for c in zip(*(r["data"] for r in found), strict=True)] for level, found in got.items() if found}
+    del rows
+    b, heard = Block.opened(state), {}
+    for level, found in got.items():
+        if found:
+            parts = [[*_open_sums(r["data"][: _WIDTH[level]]), *map(_open, r["data"][_WIDTH[level] :])] for r in found]
+            found.clear()
+            heard[level] = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return b, heard
 
 
 def _classes(of: np.ndarray, c: np.ndarray, n: int) -> list[np.ndarray]:
@@ -275,14 +304,15 @@ def _total(level: int):
         owner = np.full(len(known), -1, np.int32)
         for i, (p, counts) in enumerate(zip(places, packets, strict=True)):
             if counts:
+                counts = _open_sums(counts)
                 for k, c in enumerate(counts):
-                    sums[p, k] += _open(c)
-                owner[p[_open(counts[-1]) > 0]] = i
+                    sums[p, k] += c
+                owner[p[counts[-1] > 0]] = i
         c = sums[:, -1]
         tally = [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 0).sum()), int(c.sum())]
         out = []
         for i, (name, p) in enumerate(zip(names, places, strict=True)):
-            data = [_pack(s) for s in sums[p].T]
+            data = _pack_sums(list(sums[p].T))
             if name & 1:
                 data.append(_pack((owner[p] == i).astype(np.int8), np.int8))
             out.append({"block": name, "kind": level, "shard": key[0].as_py(), "data": data, "sums": [] if i else tally})
@@ -322,19 +352,23 @@ def _model(sums: dict[int, list[int]]) -> Model:
     return Model(d1, d2, d3, total, float((d1[1] * n1 + d1[2] * n2 + d1[3] * (v - n1 - n2)) / total / (v + 1)))
 
 
-def _interpolated(c: np.ndarray, d: np.ndarray, of: np.ndarray, context: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
-    """Probabilities from counts, the statistics of their contexts (of: which one) and probabilities of the order below."""
+def _interpolated(c: np.ndarray, d: np.ndarray, of: np.ndarray, context: list[np.ndarray], lower: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities from counts, the statistics of their contexts (of: which one) and probabilities of the order below (at: which one)."""
     total = np.maximum(context[0], 1)
     weight = np.where(context[0] > 0, sum(n * x for n, x in zip(context[1:4], d[1:], strict=True)) / total, 1.0)
-    return (c - d[np.minimum(c, 3)]) / total[of] + weight[of] * lower
+    out = np.empty(len(c))
+    for i in range(0, len(c), 1 << 16):
+        k = slice(i, i + (1 << 16))
+        out[k] = (c[k] - d[np.minimum(c[k], 3)]) / total[of[k]] + weight[of[k]] * lower[at[k]]
+    return out
 
 
 def _probabilities(m: Model, words: list, pairs: list, c3: np.ndarray, before: np.ndarray, last: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Of trigrams; before and last: words of a pair; context and suffix: pairs of a trigram."""
     c1, c2 = words[4], pairs[4]
     p1 = (c1 - m.d1[np.minimum(c1, 3)]) / m.total + m.floor
-    p2 = _interpolated(c2, m.d2, before, words, p1[last])
-    return _interpolated(c3, m.d3, context, pairs, p2[suffix])
+    p2 = _interpolated(c2, m.d2, before, words, p1, last)
+    return _interpolated(c3, m.d3, context, pairs, p2, suffix)
 
 
 def _log10(m: Model, b: Block, heard: dict[int, list[np.ndarray]]) -> np.ndarray:
@@ -358,9 +392,9 @@ def _run_without(m: Model, b: Block, heard: dict[int, list[np.ndarray]], first:
     some = slice(*np.searchsorted(b.three, [low, high]))
     three, trigram = b.three[some] - low, b.trigram[some]
     pair, two = b.pair[two], two - low
-    words, word = _distinct(doc * len(b.words) + x)
-    pairs, pair = _distinct(doc[two] * len(b.pairs) + pair)
-    trigrams, trigram = _distinct(doc[three] * len(b.trigrams) + trigram)
+    words, word = _distinct(doc * np.int64(len(b.words)) + x)
+    pairs, pair = _distinct(doc[two] * np.int64(len(b.pairs)) + pair)
+    trigrams, trigram = _distinct(doc[three] * np.int64(len(b.trigrams)) + trigram)
     at = np.zeros(len(x), np.int64)
     at[two] = pair
     before, last = np.empty(len(pairs), np.int64), np.empty(len(pairs), np.int64)

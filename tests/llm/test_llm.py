@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -374,6 +376,36 @@ def test_quality_awkward(spark, awkward, empty, labels):
     assert quality.filter_documents(awkward, labels.limit(0)).columns == awkward.columns
 
 
+def _traced(rows: int, words: int, run) -> float:
+    """Peak bytes a token of a run over invented texts, given as one batch."""
+    r = np.random.default_rng(1)
+    texts = [" ".join(map(str, r.zipf(1.3, words) % 50_000)) for _ in range(rows)]
+    batch = pa.RecordBatch.from_pydict({UID: list(range(rows)), OWN + "id": list(range(rows)), OWN + "held": [False] * rows, "lang": ["en"] * rows, "text": texts})
+    run(batch.slice(0, 1))  # tables that stay
+    tracemalloc.start()
+    try:
+        run(batch)
+        return tracemalloc.get_traced_memory()[1] / (rows * words)
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_holds_few_bytes_a_token():
+    assert _traced(400, 1000, lambda rows: list(quality._ask(None, quality.TRIGRAMS, 8)(iter([rows])))) < 100
+
+
+def test_quality_sums_are_packed_as_differences():
+    r = np.random.default_rng(1)
+    one, two, more = (r.integers(0, 3, 1000) for _ in range(3))
+    columns = [one + 2 * two + 3 * more + (r.random(1000) < 0.01) * (1 << 40), one, two, more, one + two + more]
+    packed = quality._pack_sums(columns)
+    for got, want in zip(quality._open_sums(packed), columns, strict=True):
+        assert got.tolist() == want.tolist()
+    assert sum(map(len, packed)) < sum(len(pitman_yor._pack(c)) for c in columns)
+    assert [c.tolist() for c in quality._open_sums(quality._pack_sums([np.arange(5)]))] == [[0, 1, 2, 3, 4]]
+    assert all(len(c) == 0 for c in quality._open_sums(quality._pack_sums([np.zeros(0, np.int64)] * 5)))
+
+
 # --- language model ----------------------------------------------------------------------------------
 
 
