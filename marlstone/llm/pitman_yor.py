@@ -38,12 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, fold, lowered, release, with_uid
+from .common import OWN, UID, Workspace, batches, fold, lowered, release, sliced, with_uid
 from .shingles import chunks, mixed, word_hashes, word_spans
 
 #: Bytes of text in a block, tokens for which one shard of pairs is made, and distinct words of blocks for which one shard of words is made.
 BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 1 << 24, 1 << 21, 1 << 19
 STIRLING = 256
+#: Pairs that are looked at at a time where all of a block's are gone through.
+RUN = 1 << 18
 BURN_IN, SAMPLES = 2, 3
 #: Sweeps over the spelling model between two samples of the words.
 SPELLING_SWEEPS = 3
@@ -273,15 +275,18 @@ def _open_rising(data: bytes) -> np.ndarray:
     return np.cumsum(_open(data), dtype=np.int64)
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and the place of each value among them; quick where x consists of rising runs."""
+def distinct(x: np.ndarray, kind: str | None = "stable") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them in four bytes; quick where x consists of rising runs."""
     if not len(x):
-        return x, np.zeros(0, np.int64)
-    by = np.argsort(x, kind="stable")
+        return x, np.zeros(0, np.int32)
+    by = np.argsort(x, kind=kind)
     y = x[by]
-    fresh = np.concatenate(([True], y[1:] != y[:-1]))
-    at = np.empty(len(x), np.int64)
-    at[by] = np.cumsum(fresh) - 1
+    fresh = np.ones(len(y), bool)
+    fresh[1:] = y[1:] != y[:-1]
+    place = np.cumsum(fresh, dtype=np.int32)
+    place -= 1
+    at = np.empty(len(x), np.int32)
+    at[by] = place
     return y[fresh], at
 
 
@@ -340,35 +345,37 @@ _BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, t
 _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_train", pa.int64())])
 
 
+def _run(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a run of texts as hashes and as bytes, its tokens as places among them (from 1, as 0 is the end), and the texts' sizes."""
+    joined, hashes, starts, ends, counts = word_spans(texts)
+    known, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    names = [joined[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    return known, names, np.insert((at + 1).astype(np.int32), np.cumsum(counts), 0), counts + 1
+
+
 def _block(ids: list, held: list, uid: int, parts: list) -> pa.RecordBatch:
-    """parts: what word_spans gives for runs of texts."""
-    hashes, spans, sizes = [], [], []
-    for k, (_, h, starts, _, counts) in enumerate(parts):
-        ends = np.cumsum(counts)
-        hashes.append(np.insert(h, ends, 0))
-        spans.append(np.insert(np.arange(len(starts)) + (k << 40), ends, 0))
-        sizes.append(counts + 1)
+    """parts: what _run gives for runs of texts."""
+    every, names, tokens, sizes = zip(*parts, strict=True)
+    words, first, at = np.unique(np.concatenate((np.zeros(1, np.uint64), *every)), return_index=True, return_inverse=True)
+    names = [STOP, *(n for run in names for n in run)]
+    ends = np.cumsum([len(x) for x in every]) + 1
+    own = [np.insert(at[z - len(x) : z], 0, 0).astype(np.int32)[t] for x, z, t in zip(every, ends, tokens, strict=True)]
     sizes = np.concatenate(sizes)
-    words, first, tokens = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    at = np.concatenate(spans)[first[1:]]
-    text, place = (at >> 40).tolist(), at & ((1 << 40) - 1)
-    cut = [parts[k] for k in text]
-    names = [joined[starts[i] : ends[i]] for (joined, _, starts, ends, _), i in zip(cut, place.tolist(), strict=True)]
-    row = {"block": uid, "ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": _pack(tokens), "words": _pack_words([STOP, *names])}
+    row = {"block": uid, "ids": ids, "held": held, "sizes": sizes.tolist(), "tokens": _pack(np.concatenate(own)), "words": _pack_words([names[i] for i in first.tolist()])}
     return _batch(_BLOCKS_ARROW, row | {"n_tokens": int(sizes.sum()), "n_words": len(words), "n_train": int(sizes[~np.array(held)].sum())})
 
 
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as numbers of a block's words, which are in order of their codes."""
     ids, held, parts, uid, size = [], [], [], 0, 0
-    for uids, own, out, texts in batches(rows, [UID, OWN + "id", OWN + "held", "text"]):
+    for uids, own, out, texts in batches(sliced(rows), [UID, OWN + "id", OWN + "held", "text"]):
         for first, part in chunks(texts):
             if not parts:
                 uid = uids[first]
             ids += own[first : first + len(part)]
             held += out[first : first + len(part)]
-            parts.append(word_spans(part))
-            size += len(parts[-1][0])
+            parts.append(_run(part))
+            size += sum(map(len, part)) + len(part)
             if size >= BLOCK_BYTES:
                 yield _block(ids, held, uid, parts)
                 ids, held, parts, size = [], [], [], 0
@@ -384,17 +391,24 @@ class Block:
         self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.codes = _codes(self.words)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = 0
-        pairs, at = np.unique(before.astype(np.int64) * len(self.words) + self.tokens, return_inverse=True)
-        u, w = np.divmod(pairs, len(self.words))
-        key = mixed(self.codes[u] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.codes[w]))
-        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+        n = len(self.words)
+        pairs = np.empty(len(self.tokens), np.int64)
+        pairs[1:] = self.tokens[:-1]
+        pairs[self.starts] = 0
+        pairs *= n
+        pairs += self.tokens
+        pairs, at = distinct(pairs, None)
+        u, w, shard = (np.empty(len(pairs), k) for k in (np.int32, np.int32, np.uint16 if shards <= 1 << 16 else np.int64))
+        for i in range(0, len(pairs), RUN):
+            k = slice(i, i + RUN)
+            u[k], w[k] = np.divmod(pairs[k], n)
+            key = mixed(self.codes[u[k]] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.codes[w[k]]))
+            shard[k] = (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        del pairs
         by = np.argsort(shard, kind="stable")
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        self.u, self.w, self.shard, self.at = u[by], w[by], shard[by].astype(np.int64), rank[at]
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        self.u, self.w, self.shard, self.at = u[by], w[by], shard[by], rank[at]
 
     def names(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words of a run of pairs, and the places of u and w among them."""
@@ -418,7 +432,7 @@ def _send_pairs(shards: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
             b = Block(r, shards)
-            counts = np.bincount(b.at, np.repeat(~np.array(r["held"]), b.sizes), len(b.u))
+            counts = np.bincount(b.at[np.repeat(~np.array(r["held"]), b.sizes)], minlength=len(b.u))
             for shard, first, end in _cuts(b.shard):
                 names, u, w = b.names(first, end)
                 yield _batch(_PAIR_PACKETS_ARROW, {"shard": shard, "block": r["block"], "codes": _pack_codes(b.codes[names]), "u": _pack_rising(u), "w": _pack(w), "counts": _pack(counts[first:end])})
@@ -436,7 +450,7 @@ def _send_words(shards: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(rows):
             tokens, words = _open(r["tokens"]), _open_words(r["words"])
-            counts = np.bincount(tokens, np.repeat(~np.array(r["held"]), r["sizes"]), len(words))
+            counts = np.bincount(tokens[np.repeat(~np.array(r["held"]), r["sizes"])], minlength=len(words))
             # Words are in order of their shards, so a few of them tell where each begins.
             of = lambda w: int(_word_shard(_codes([w]), shards)[0])
             edges = [*(bisect_left(words, k, key=of) for k in range(shards)), len(words)]
@@ -467,7 +481,7 @@ def _merge_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     for r, own in zip(packets, each, strict=True):
         at = place[end : end + len(own)]
         end += len(own)
-        pairs.append(at[_open_rising(r["u"])] * len(names) + at[_open(r["w"])])
+        pairs.append(at[_open_rising(r["u"])] * np.int64(len(names)) + at[_open(r["w"])])
     known, at = distinct(np.concatenate(pairs))
     c = np.bincount(at, np.concatenate([_open(r["counts"]) for r in packets]), len(known)).astype(np.int64)
     u, w = np.divmod(known, len(names))
@@ -756,13 +770,16 @@ def _score(shards: int, state: State):
         r = rows.to_pylist()[0]
         got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["sender"]))
         b = Block(r, shards)
-        own = np.concatenate([_open(x["a"], np.float32) for x in got if x["kind"] == OF_PAIRS]).astype(float)
+        own = np.concatenate([_open(x["a"], np.float32) for x in got if x["kind"] == OF_PAIRS])
         words = [x for x in got if x["kind"] == OF_WORDS]
         c, insides = (np.concatenate([_open(x[k], np.int64) for x in words]) for k in ("a", "c"))
         log_p = np.concatenate([_open(x["b"], np.float32) for x in words]).astype(float)
-        p = mixture(own, c[b.u], log_p[b.w], shares(c, insides, state.d)[b.u])
+        share, p = shares(c, insides, state.d), np.empty(len(own))
+        for i in range(0, len(own), RUN):
+            k = slice(i, i + RUN)
+            p[k] = mixture(own[k].astype(float), c[b.u[k]], log_p[b.w[k]], share[b.u[k]])
         known, base = (c > 0).astype(np.int64), np.log10((c + 1) / (state.n + state.v + 1))
-        sums = [np.add.reduceat(x, b.starts) for x in (known[b.tokens], base[b.tokens], p[b.at])]
+        sums = [np.add.reduceat(x[at], b.starts) for x, at in ((known, b.tokens), (base, b.tokens), (p, b.at))]
         columns = [pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), state.n)), *(pa.array(x) for x in (sums[1], sums[2], -sums[2] / b.sizes))]
         return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 

@@ -520,6 +520,19 @@ def test_scores_against_counts(docs, model_texts):
     assert sum(got[i].score for i in rows if not held[i]) > sum(got[i].base_score for i in rows if not held[i])
 
 
+def test_blocks_hold_few_bytes_a_token():
+    blocks = []
+    assert _traced(400, 1000, lambda rows: blocks.append(list(pitman_yor._blocks(iter([rows]))))) < 80
+    pitman_yor.Block(blocks[0][0].to_pylist()[0], 8)  # tables that stay
+    row = blocks[1][0].to_pylist()[0]
+    tracemalloc.start()
+    try:
+        pitman_yor.Block(row, 8)
+        assert tracemalloc.get_traced_memory()[1] / row["n_tokens"] < 50
+    finally:
+        tracemalloc.stop()
+
+
 def test_repeated_texts_score_higher(spark, tmp_path):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(VOCABULARY) for _ in range(200)) for _ in range(60)]
