@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -104,6 +106,14 @@ def sliced(rows: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBa
             yield b.slice(i, n)
 
 
+def afresh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`sliced`, once memory that earlier tasks of this worker have freed is the system's again; a C library may not offer that."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    yield from sliced(rows)
+
+
 def lowered(text: str | None) -> bytes:
     """UTF-8 with A-Z lower-cased; null counts as empty."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, UID, Workspace, batches, fold, join_counted, keep_rows, with_uid
+from .common import OWN, UID, Workspace, afresh, batches, fold, join_counted, keep_rows, with_uid
 from .graph import components
 from .shingles import chunks, mixed, shingles
 
@@ -76,7 +76,7 @@ def _features(sh: np.ndarray) -> np.ndarray:
 
 def _count_features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, docs = np.zeros(1 << FEATURE_BITS, np.int64), 0
-    for (texts,) in batches(rows, ["text"]):
+    for (texts,) in batches(afresh(rows), ["text"]):
         docs += len(texts)
         for _, part in chunks(texts):
             sh, _, _ = _distinct(*shingles(part))
@@ -156,7 +156,7 @@ _SIGNED = f"{UID} long, {OWN}id long, digest binary, bands array<long>, sig bina
 def _sign(idf):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = idf.value
-        for uids, ids, texts in batches(rows, [UID, OWN + "id", "text"]):
+        for uids, ids, texts in batches(afresh(rows), [UID, OWN + "id", "text"]):
             for first, part in chunks(texts):
                 sh, tf, per = _distinct(*shingles(part))
                 bands: list = [None] * len(part)

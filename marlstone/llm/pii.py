@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, Workspace, batches
+from .common import OWN, Workspace, afresh, batches
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -227,7 +227,7 @@ _FOUND = f"{OWN}id long, n_email long, n_ip long, n_card long, n_phone long, bas
 
 
 def _find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in batches(rows, [OWN + "id", "text"]):
+    for ids, texts in batches(afresh(rows), [OWN + "id", "text"]):
         out = []
         for t in texts:
             base = base_spans(t or "")
@@ -305,7 +305,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     at = docs.columns.index(text_col)
 
     def mask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in afresh(rows):
             out = []
             for t in b.column(at).to_pylist():
                 if t:

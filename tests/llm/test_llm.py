@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, exact_dedup, graph, line_dedup, near_dedup, packing, pii, pitman_yor, quality, shingles, tiff, token_output, tokenize
-from marlstone.llm.common import OWN, UID, Workspace, lowered, with_uid
+from marlstone.llm.common import OWN, UID, Workspace, afresh, lowered, with_uid
 from marlstone.llm.queries import vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -594,6 +594,13 @@ def test_pii_long_texts_take_linear_time():
     pii.candidates(t, pii.base_spans(t))
 
 
+def test_pii_holds_a_slice_of_the_texts():
+    assert _traced(4000, 100, lambda rows: [None for _ in pii._find(iter([rows.rename_columns([OWN + "id" if n == UID else n if n == "text" else n + "_" for n in rows.schema.names])]))]) < 4
+    rows = pa.RecordBatch.from_pydict({"n": list(range(1100))})
+    got = list(afresh(iter([rows, rows.slice(0, 0), rows.slice(7, 3)])))
+    assert max(b.num_rows for b in got) <= 512 and [x for b in got for x in b.column(0).to_pylist()] == [*range(1100), 7, 8, 9]
+
+
 def test_pii_awkward(spark, awkward, empty):
     assert pii.find(awkward).count() == 10 and pii.find(empty).count() == 0
     out = pii.redact(awkward)
