@@ -72,7 +72,7 @@ def _needed(node, config: str) -> list[str]:
     if node is None:
         return []
     if node[0] == "lexeme":
-        stub = node[1] if config == "simple" else node[1][:-3]
+        stub = node[1][:-3] if config == "english" else node[1]
         return [stub] if len(stub) > 1 and stub.isascii() and stub.isalpha() else []
     if node[0] in ("and", "phrase"):
         return _needed(node[1], config) + _needed(node[2], config)
@@ -119,4 +119,4 @@ def tsvector_to_array(vector) -> Column:
 
 def postings(text, config: str = "english") -> Column:
     """Distinct lexemes, to be exploded into an inverted index."""
-    return _udf("array<string>", lambda x: sorted(v.to_vector(x, config)))(col(text))
+    return _udf("array<string>", lambda x: sorted(v.lexemes(x, config)))(col(text))

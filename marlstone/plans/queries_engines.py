@@ -23,7 +23,7 @@ from .registry import Tables, query
 
 @query("""SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])license([^\\p{L}\\p{N}]|$)') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])apache([^\\p{L}\\p{N}]|$)')""")
 def text_filter(spark, sf):
-    return Tables(spark, sf).documents.where(ts.text_matches(F.col("text"), "'apache' & 'license'", "simple")).select("doc_id")
+    return Tables(spark, sf).documents.where(ts.text_matches(F.col("text"), "'apache' & 'license'", "words")).select("doc_id")
 
 
 @query()
@@ -36,7 +36,7 @@ def text_rank_top(spark, sf):
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)') AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of([^\\p{L}\\p{N}]|$)')")
 def text_index_search(spark, sf):
     """Over stored postings."""
-    index = inverted.TextIndex(Tables(spark, sf).documents, "doc_id", "text", "simple")
+    index = inverted.TextIndex(Tables(spark, sf).documents, "doc_id", "text", "words")
     return index.store(f"{recursion._folder(spark)}/postings").search("'the' & 'of'").select("doc_id")
 
 

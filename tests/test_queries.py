@@ -63,3 +63,13 @@ def test_copy_round_trip_copies_the_whole_table(spark, duck, monkeypatch):
     monkeypatch.setattr(qe.cp, "copy_to", lambda rows, *a, **b: (copied.append(rows.count()), copy_to(rows, *a, **b)))
     registry.QUERIES["copy_round_trip"](spark, SF)
     assert copied == [duck.execute("SELECT count(*) FROM customer").fetchone()[0]]
+
+
+def test_words_in_addresses_are_words(spark, duck, tmp_path):
+    texts = ["end of.nbfs The end", "the@of.example", "the.of.com", "the_of", "3the of", "the apache.license", "see www.apache.org/license.txt", "apache-license", "the 5.of", "a-the.of-5", "Of\nTHE"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duck.cursor() as c:
+        c.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        for name in ("text_index_search", "text_filter"):
+            want = c.execute(registry.SQL[name]).fetchall()
+            assert want and sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
