@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,20 +51,39 @@ def matches(vector, query) -> Column:
 def text_matches(text, query: str, config: str = "english") -> Column:
     """to_tsvector(text) @@ query in one step.  Needed words that no suffix can hide are looked for in the JVM first."""
     node = q.parse(query)
+    near = _near(node, config)
 
     @vectorised("boolean")
     def udf(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: None if x is None else q.matches(node, v.to_vector(x, config)))
+        # No token has white space in it, and places only matter to phrases: other pieces of the text can't change the answer.
+        cut = (lambda x: x) if near is None else lambda x: " ".join([w for w in x.split() if near.search(w)])
+        return pd.Series([None if x is None else q.matches(node, v.to_vector(cut(x), config)) for x in xs], dtype="boolean")
 
-    needed = _needed(node, config)
-    if not needed:
+    quick = _may_match(node, F.lower(col(text)), config)
+    if quick is None:
         return udf(col(text))
-    low, quick = F.lower(col(text)), F.lit(True)
-    for lex in needed:
-        quick = quick & F.contains(low, F.lit(lex))
     return F.when(~quick, F.lit(False)).otherwise(udf(F.when(quick, col(text))))
 
 
+def _near(node, config: str) -> re.Pattern | None:
+    """What is part of every word that has one of the query's lexemes; None where that isn't known or words' places matter."""
+    stubs = [_needed(leaf, config) for leaf in q.leaves(node)]
+    return None if not stubs or not all(stubs) or q.has_phrase(node) else re.compile("|".join(sorted({x for own in stubs for x in own})), re.IGNORECASE)
+
+
+def _may_match(node, low: Column, config: str) -> Column | None:
+    """False only for lower-cased texts that can't match; None: all may."""
+    if node is None or node[0] == "not":
+        return None
+    if node[0] == "lexeme":
+        stubs = _needed(node, config)
+        return F.contains(low, F.lit(stubs[0])) if stubs else None
+    a, b = _may_match(node[1], low, config), _may_match(node[2], low, config)
+    if node[0] == "or":
+        return None if a is None or b is None else a | b
+    return b if a is None else a if b is None else a & b
+
+
 def _needed(node, config: str) -> list[str]:
     """Starts of words that every matching text must contain: of lexemes that all branches need.
 

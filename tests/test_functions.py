@@ -174,3 +174,17 @@ def test_contained_scalars_without_python(spark):
         got = {r.i: r.c for r in rows.select("i", jsonb.jsonb_contains(F.col("t"), pattern).alias("c")).collect()}
         for i, t in enumerate(texts):
             assert got[i] == (None if t is None else jsonb.contains(jsonb.parse(t), jsonb.parse(pattern))), (pattern, t)
+
+
+def test_text_is_matched_without_a_vector(spark):
+    """to_tsvector(text) @@ constant: one Python function, the query parsed once, and the same answers as by vectors."""
+    from marlstone.plans.engine import Engine
+    from marlstone.text import query, vector
+
+    texts = ["An Apache license", "licensed, copyrighted", "see license.txt apache", "mail a.b@license.org apache", "LICENSE copyright", "public map", "the license apache", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "i int, x string").createOrReplaceTempView("ms_texts")
+    for q in ("license & (apache | copyright)", "!license & map", "license | map", "license <-> apache", "lic:* & !apache"):
+        df = Engine(spark).sql(f"SELECT i FROM ms_texts WHERE to_tsvector('english', x) @@ to_tsquery('english', '{q}')")
+        node = query.to_query(q)
+        assert sorted(r.i for r in df.collect()) == [i for i, x in enumerate(texts) if x is not None and query.matches(node, vector.to_vector(x))], q
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
