@@ -173,7 +173,8 @@ def right_join(spark, sf):
 @query("SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) c ON s.s_nationkey = c.c_nationkey")
 def full_join(spark, sf):
     t = Tables(spark, sf)
-    return t.supplier.join(t.customer.where("c_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey"), "full").select("s_suppkey", "c_custkey")
+    sides = t.supplier.select("s_suppkey", "s_nationkey"), t.customer.where("c_acctbal > 9000").select("c_custkey", "c_nationkey")
+    return joins.full_in_cells(*sides, "s_nationkey", "c_nationkey").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")

@@ -168,3 +168,24 @@ def test_statements(spark, tmp_path):
 def test_what_is_not_understood_is_refused(spark, bad):
     with pytest.raises(SyntaxError):
         Engine(spark).register("/root/testdata/sf0.001", "nation").sql(bad)
+
+
+def test_full_join_deals_hot_keys_to_many_tasks(spark):
+    from pyspark.sql.functions import spark_partition_id
+
+    from marlstone.operators import joins
+
+    a = spark.createDataFrame([(i, None if i % 50 == 0 else i % 2 if i < 380 else i) for i in range(400)], "x int, j int")
+    b = spark.createDataFrame([(i, None if i % 60 == 0 else i % 2 if i < 280 else -i) for i in range(300)], "y int, k int")
+    for p, q in ((a, b), (a, b.where("false")), (a.where("false"), b), (a.where("x >= 380"), b)):
+        want = p.join(q, F.col("j") == F.col("k"), "full").collect()
+        made = joins.full_in_cells(p, q, "j", "k", 2000)
+        assert made.columns == ["x", "j", "y", "k"]
+        assert sorted(made.collect(), key=repr) == sorted(want, key=repr)
+    pairs = joins.full_in_cells(a, b, "j", "k", 2000).where("x IS NOT NULL AND y IS NOT NULL").groupBy(spark_partition_id()).count().collect()
+    # Two keys of about 25,000 pairs each.
+    assert max(r["count"] for r in pairs) < 12_000
+    from marlstone.plans import registry
+
+    rows = registry.QUERIES["full_join"](spark, "/root/testdata/sf0.1").where("s_suppkey IS NOT NULL AND c_custkey IS NOT NULL").groupBy(spark_partition_id()).count().collect()
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 0.6 * sum(r["count"] for r in rows)
